@@ -5,12 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stratapoint.llm.decontam import find_contamination
 from stratapoint.llm.exact_dedup import exact_dedup
+from stratapoint.llm.langid import identify
+from stratapoint.llm.line_dedup import line_dedup_digest
+from stratapoint.llm.packing import pack
+from stratapoint.llm.quality import importance_resample
+from stratapoint.llm.token_records import token_records
+
+WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -19,7 +32,43 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), WORD_TOKENIZER)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(_documents(spark, sf_dir), BYTE_TOKENIZER).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_items = F.size("hit_items").cast("long")
+    return found.select(
+        "doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated")
+    )
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_digest(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_quality": op3_quality,
+    "op4_language_id": op4_language_id,
+    "op7_token_records": op7_token_records,
+    "op8_decontamination": op8_decontamination,
+    "op10_line_dedup": op10_line_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": f"""
@@ -27,4 +76,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY k) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY k) AS kept, sha256(k) AS text_sha256
         FROM t""",
+    "op8_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item, array_to_string(w[i : i + least(8, len(w)) - 1], ' ') AS g, least(8, len(w)) AS n
+            FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 7))) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        grams AS (
+            SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
+            FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+        hits AS (SELECT doc_id, i, grams.n, item FROM grams JOIN windows USING (g, n)),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+               sha256(coalesce(s, '')) AS items_sha256, coalesce(items.n, 0) >= 2 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS pos FROM d),
+        k AS (SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        f AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        j AS (SELECT k.*, top IS NOT NULL AND top <> doc_id AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM j GROUP BY doc_id""",
 }
