@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratapoint.llm.decontam import find_contamination
 from stratapoint.llm.exact_dedup import exact_dedup
+from stratapoint.llm.jaccard_join import jaccard_components
 from stratapoint.llm.langid import identify
 from stratapoint.llm.line_dedup import line_dedup_digest
 from stratapoint.llm.packing import pack
@@ -44,6 +45,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir), words=3, num=90, den=100)
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(_documents(spark, sf_dir), BYTE_TOKENIZER).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_token_records": op7_token_records,
     "op8_decontamination": op8_decontamination,
     "op10_line_dedup": op10_line_dedup,
@@ -76,6 +82,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY k) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY k) AS kept, sha256(k) AS text_sha256
         FROM t""",
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(3, len(w)) - 1], ' ') AS g
+              FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+        c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT c.doc_id, e.y FROM c JOIN e ON c.r = e.x)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(r) FROM c WHERE c.doc_id = d.doc_id) AS component_id
+        FROM d LEFT JOIN n USING (doc_id)""",
     "op8_decontamination": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
