@@ -13,6 +13,7 @@ Further columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +30,9 @@ COUNTERS = 1024
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        d = [hashlib.sha256((t or b"").translate(LOWER)).digest() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d, pa.binary())], ["doc_id", "digest"])
+        texts = [t or b"" for t in b.column(1).to_pylist()]
+        d = [hashlib.sha256(t.translate(LOWER)).digest() for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array(d, pa.binary())], ["doc_id", "tag", "digest"])
 
 
 def prune(counts: dict[bytes, int], k: int) -> dict[bytes, int]:
@@ -62,11 +64,11 @@ def heavy_hitters(digests: DataFrame, k: int) -> dict[bytes, int]:
 
 
 def exact_dedup(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs(doc_id, text)."""
+    """doc_id, keep_id, group_size, kept, text_sha256, tag (CRC-32 of the text as it is) for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    table = Scratch(spark).table(own.mapInArrow(_digests, "doc_id long, digest binary"), "digests")
+    table = Scratch(spark).table(own.mapInArrow(_digests, "doc_id long, tag long, digest binary"), "digests")
 
     schema = "digest binary, keep_id long, group_size long"
     candidates = spark.createDataFrame([(bytearray(d),) for d in heavy_hitters(table, k)], "digest binary")
@@ -74,11 +76,11 @@ def exact_dedup(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
         [(r.digest, r.keep_id, r.group_size) for r in table.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).collect() if r.group_size > 1],
         schema,
     )
-    heavy = table.join(F.broadcast(winners), "digest").select("doc_id", "keep_id", "group_size", "digest")
+    heavy = table.join(F.broadcast(winners), "digest").select("doc_id", "tag", "keep_id", "group_size", "digest")
     rest = table.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     best = rest.selectExpr(
-        "doc_id", "max(doc_id) over (partition by digest) as keep_id", "count(*) over (partition by digest) as group_size", "digest"
+        "doc_id", "tag", "max(doc_id) over (partition by digest) as keep_id", "count(*) over (partition by digest) as group_size", "digest"
     )
     return heavy.unionByName(best).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "tag"
     )

@@ -31,6 +31,7 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -129,9 +130,10 @@ class Rule:
 def _identity(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), n) for t in b.column(1)]
+            texts = [t or b"" for t in b.column(1).to_pylist()]
+            sets = [shingles(t, n) for t in texts]
             d = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "d1", "d2", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64())], ["doc_id", "d1", "d2", "n", "tag"])
 
     return run
 
@@ -385,13 +387,13 @@ def _large_cells(scratch: Scratch, big: DataFrame, rule: Rule) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs(doc_id, text); links: den * intersection >= num * union."""
+    """doc_id, n_shingles, component_id, tag (CRC-32 of the text) of every row of docs(doc_id, text); links: den * intersection >= num * union."""
     spark = docs.sparkSession
     ship(spark)
     scratch, rule = Scratch(spark), Rule(num, den)
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = scratch.table(own.mapInArrow(_identity(words), "doc_id long, d1 long, d2 long, n long"), "rows")
+    rows = scratch.table(own.mapInArrow(_identity(words), "doc_id long, d1 long, d2 long, n long, tag long"), "rows")
 
     def level0(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -462,4 +464,4 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     linked = scratch.table(ids.join(least, "root").select("d1", "d2", "component_id"), "linked")
     every = classes.join(linked, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = rows.join(scratch.table(every, "components"), ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tag")

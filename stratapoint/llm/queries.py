@@ -30,7 +30,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(_documents(spark, sf_dir))
+    return exact_dedup(_documents(spark, sf_dir)).drop("tag")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_documents(spark, sf_dir), words=3, num=90, den=100)
+    return jaccard_components(_documents(spark, sf_dir), words=3, num=90, den=100).drop("tag")
 
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
