@@ -11,6 +11,7 @@ from stratapoint.llm.decontam import find_contamination
 from stratapoint.llm.exact_dedup import exact_dedup
 from stratapoint.llm.jaccard_join import jaccard_components
 from stratapoint.llm.langid import identify
+from stratapoint.llm.licenses import license_scan
 from stratapoint.llm.line_dedup import line_dedup_digest
 from stratapoint.llm.packing import pack
 from stratapoint.llm.quality import importance_resample
@@ -61,6 +62,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt")))
+    return license_scan(_documents(spark, sf_dir).select("doc_id", path.alias("path"), "text")).drop("text")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(_documents(spark, sf_dir))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op7_token_records": op7_token_records,
     "op8_decontamination": op8_decontamination,
+    "op9_licenses": op9_licenses,
     "op10_line_dedup": op10_line_dedup,
 }
 
