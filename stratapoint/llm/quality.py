@@ -1,8 +1,8 @@
 """Quality selection by importance resampling.
 
-Two generative models over hashed n-grams (words and pairs of words, ``buckets`` buckets): one of the target (labelled
+Two generative models over hashed n-grams (words, pairs of words, and up to three token shapes; ``buckets`` buckets): one of the target (labelled
 documents of quality 1), one of the raw text (all documents). A document's weight is the log ratio of its probability under
-the two, summed over all its n-grams. Sampling without replacement in proportion to the weights is a Gumbel top-k: each
+the two, summed over all its n-grams, its own counts left out of both (else the labelled documents would win by memory). Sampling without replacement in proportion to the weights is a Gumbel top-k: each
 document's key is its log weight plus Gumbel noise made from a hash of its doc_id and a seed, and the ``k`` largest keys
 win. ``k`` is a share of the rows; by default the share of quality 1 among the labelled documents, so that noise decides
 only between documents that look alike.
@@ -19,6 +19,7 @@ doc_id. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +29,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratapoint.llm.text import ALNUM, ngram_hashes, word_hashes
+from stratapoint.llm.text import ngram_hashes, word_hashes
 from stratapoint.runtime import Scratch, ship
 
 BUCKETS = 1 << 16
 MAX_LABELS = 200_000
+#: Counts of equal probability added to either side of a ratio.
+PRIOR = 10.0
+
+
+#: Words, and runs of other printing ASCII characters.
+_TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
+
+
+class _Shape(dict):
+    """token -> the hash of its shape: case, digits or the characters themselves."""
+
+    LIMIT = 500_000
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        if not (token[0] > 127 or token[:1].isalnum()):
+            shape = token
+        elif token.isdigit():
+            shape = b"0"
+        else:
+            letters = bytes(c for c in token if c < 128)
+            shape = b"A" if letters.isupper() and len(token) > 1 else b"Aa" if token[:1].isupper() else b"a0" if any(48 <= c < 58 for c in letters) else b"a"
+        h = self[token] = xxhash.xxh3_64_intdigest(shape, 1)
+        return h
+
+
+_SHAPE = _Shape()
 
 
 def buckets_of(text: bytes | None, buckets: int) -> np.ndarray:
-    w = word_hashes((text or b"").translate(ALNUM).split())
-    return (np.concatenate((ngram_hashes(w, 1), ngram_hashes(w, 2))) % np.uint64(buckets)).astype(np.int64)
+    """Hashed words and word pairs, and hashed n-grams (1 to 3) of token shapes."""
+    tokens = _TOKEN.findall(text or b"")
+    w = word_hashes(tokens)
+    s = np.fromiter(map(_SHAPE.__getitem__, tokens), np.uint64, len(tokens))
+    grams = [ngram_hashes(w, 1), ngram_hashes(w, 2), *[ngram_hashes(s, n) for n in (1, 2, 3)]]
+    return (np.concatenate(grams) % np.uint64(buckets)).astype(np.int64)
 
 
 def _count(buckets: int):
@@ -60,11 +93,22 @@ def gumbel(seed: int, doc_id: int | None) -> float:
     return float(-np.log(-np.log(u)))
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of target over raw probability by bucket, with one added to every count."""
-    if not target.sum():
-        return np.zeros(len(raw))
-    return np.log((target + 1.0) / (target.sum() + len(raw))) - np.log((raw + 1.0) / (raw.sum() + len(raw)))
+class Ratio:
+    """Log of target over raw probability; a document's own n-grams are left out, and rare buckets shrink towards 0."""
+
+    def __init__(self, raw: np.ndarray, target: np.ndarray):
+        self.raw, self.target = raw.astype(np.float64), target.astype(np.float64)
+        self.raw_n, self.target_n = float(raw.sum()), float(target.sum())
+
+    def weight(self, buckets: np.ndarray, is_target: bool) -> float:
+        own = len(buckets)
+        raw_n, target_n = self.raw_n - own, self.target_n - own * is_target
+        if not own or raw_n <= 0 or target_n <= 0:
+            return 0.0
+        at, n = np.unique(buckets, return_counts=True)
+        target = self.target[at] - n * is_target
+        raw = (self.raw[at] - n) * (target_n / raw_n)
+        return float((n * np.log((target + PRIOR) / (raw + PRIOR))).sum())
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 7, buckets: int = BUCKETS, max_labels: int = MAX_LABELS) -> DataFrame:
@@ -83,18 +127,18 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     raw, good_n = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # one row a bucket
         raw[r.bucket], good_n[r.bucket] = r.raw, r.target
-    model = spark.sparkContext.broadcast(log_ratios(raw, good_n))
+    model = spark.sparkContext.broadcast(Ratio(raw, good_n))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = model.value
         for b in batches:
             ids = b.column(0).to_pylist()
-            w = np.array([ratio[buckets_of(t.as_py(), buckets)].sum() for t in b.column(1)])
+            w = np.array([ratio.weight(buckets_of(t.as_py(), buckets), bool(own)) for t, own in zip(b.column(1), b.column(2).to_pylist(), strict=True)])
             keys = w + np.array([gumbel(seed, i) for i in ids])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.float64()), pa.array(keys, pa.float64())], ["doc_id", "log_weight", "sample_key"])
 
     schema = "doc_id long, log_weight double, sample_key double"
-    scored = scratch.table(own.mapInArrow(score, schema), "scored")
+    scored = scratch.table(own.join(F.broadcast(target), "doc_id", "left").mapInArrow(score, schema), "scored")
     order = [F.desc("sample_key"), F.asc_nulls_last("doc_id")]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
