@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stratapoint.errors import PointError
 from stratapoint.functions.intra import filter_points
 from stratapoint.functions.points import get_role
-from stratapoint.functions.quant import value_of
+from stratapoint.functions.quant import let, value_of
 from stratapoint.schema import Schema
 
 #: EWKB flags and geometry types (fixed values).
@@ -73,17 +73,20 @@ def _near(bounds: Column, ring: Ring) -> Column:
 
 def patch_intersects_polygon(pa: Column, ring: Ring) -> Column:
     """Whether a patch's box meets a polygon: a box test that scans can push down, then corners and edges."""
-    b = pa["bounds"]
-    corner = point_in_polygon(b["xmin"], b["ymin"], ring)
-    for x, y in (("xmin", "ymax"), ("xmax", "ymin"), ("xmax", "ymax")):
-        corner = corner | point_in_polygon(b[x], b[y], ring)
-    edge = F.lit(False)
-    for x1, y1, x2, y2 in _edges(ring):
-        # An edge meets the box if it spans it on both axes and the corners are not all on one side of its line.
-        side = [F.signum((b[x] - x1) * (y2 - y1) - (b[y] - y1) * (x2 - x1)) for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
-        over = (b["xmin"] <= max(x1, x2)) & (b["xmax"] >= min(x1, x2)) & (b["ymin"] <= max(y1, y2)) & (b["ymax"] >= min(y1, y2))
-        edge = edge | (over & (F.least(*side) <= 0) & (F.greatest(*side) >= 0))
-    return _near(b, ring) & (corner | edge)
+
+    def meets(b: Column) -> Column:
+        hit = F.lit(False)
+        for x in ("xmin", "xmax"):
+            for y in ("ymin", "ymax"):
+                hit = hit | point_in_polygon(b[x], b[y], ring)
+        for x1, y1, x2, y2 in _edges(ring):
+            # An edge meets the box if it spans it on both axes and the corners are not all on one side of its line.
+            side = [F.signum((b[x] - x1) * (y2 - y1) - (b[y] - y1) * (x2 - x1)) for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
+            over = (b["xmin"] <= max(x1, x2)) & (b["xmax"] >= min(x1, x2)) & (b["ymin"] <= max(y1, y2)) & (b["ymax"] >= min(y1, y2))
+            hit = hit | (over & (F.least(*side) <= 0) & (F.greatest(*side) >= 0))
+        return hit
+
+    return _near(pa["bounds"], ring) & let(pa["bounds"], meets)
 
 
 def intersection(pa: Column, schema: Schema, ring: Ring, holes: list[Ring] = ()) -> Column:

@@ -49,9 +49,9 @@ def fmt_g(value: Column) -> Column:
     """A double as C's %g writes it: six digits, trailing zeros gone, an exponent below -4 and from 6 on."""
 
     def digits(s: Column) -> Column:
-        exp = F.substring_index(s, "e", -1).cast("int")
+        exp = F.substring_index(s, "E", -1).cast("int")
         sign = F.when(F.startswith(s, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-        six = F.regexp_replace(F.substring_index(s, "e", 1), "[-.]", "")
+        six = F.regexp_replace(F.substring_index(s, "E", 1), "[-.]", "")
         trim = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\..*?)0+$", "$1"), r"\.$", "")
         mantissa = trim(F.concat(F.substring(six, 1, 1), F.lit("."), F.substring(six, 2, 5)))
         tail = F.concat(F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), 2, "0"))
@@ -60,4 +60,5 @@ def fmt_g(value: Column) -> Column:
         return F.concat(sign, F.when((exp < -4) | (exp >= 6), F.concat(mantissa, wide)).otherwise(trim(fixed)))
 
     special = F.when(F.isnan(value), F.lit("nan")).when(value == float("inf"), F.lit("inf")).when(value == float("-inf"), F.lit("-inf"))
-    return special.otherwise(let(F.format_string("%.5e", value), digits))
+    # Not format_string: it rounds the shortest decimal form of a double, C its exact value.
+    return special.otherwise(let(F.call_function("format_number", value, F.lit("0.00000E0")), digits))

@@ -37,8 +37,9 @@ def overlap_join(left: DataFrame, right: DataFrame, left_box: Column, right_box:
     Spark shuffles by cell and splits where a cell is hot. The corner of the common box says which cell reports a pair.
     """
     sides = []
+    # The generator keeps the optimizer from repeating a costly box expression in every use below.
     for df, box, p in ((left, left_box, "l"), (right, right_box, "r")):
-        own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(f"__{p}"), box.alias(f"__{p}box")).where(F.col(f"__{p}box.xmin").isNotNull())
+        own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(f"__{p}"), F.explode(F.array(box)).alias(f"__{p}box")).where(F.col(f"__{p}box.xmin").isNotNull())
         own = own.withColumn(f"__{p}level", _level(F.col(f"__{p}box"), cell, levels))
         listed = F.array_compact(F.flatten(F.array(*[F.when(F.col(f"__{p}level") <= k, _cells(F.col(f"__{p}box"), cell, k)).otherwise(F.array().cast("array<struct<level:int,cx:bigint,cy:bigint>>")) for k in range(levels)])))
         sides.append(own.withColumn("cell", F.explode(listed)))

@@ -37,8 +37,15 @@ def schema(pcid: int) -> Schema:
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
 
+def epoch_seconds(name: str) -> Column:
+    """Seconds since 1970 of a timestamp without time zone, the same in any session time zone."""
+    t = F.col(name)
+    whole = F.date_diff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+    return (whole * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")) / 1e6
+
+
 def values() -> dict[str, Column]:
-    return {"X": F.col("l_extendedprice"), "Y": F.col("l_quantity"), "Z": F.col("l_discount"), "Intensity": F.col("l_linenumber"), "GPSTime": F.unix_micros("l_shipdate") / 1e6}
+    return {"X": F.col("l_extendedprice"), "Y": F.col("l_quantity"), "Z": F.col("l_discount"), "Intensity": F.col("l_linenumber"), "GPSTime": epoch_seconds("l_shipdate")}
 
 
 def order() -> list[Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratapoint.functions import geometry as geo
 from stratapoint.functions import intra, patches, points, wkb
 from stratapoint.operators import patching, spatial
-from stratapoint.plans.formats import lineitem, order, registry, schema, values
+from stratapoint.plans.formats import epoch_seconds, lineitem, order, registry, schema, values
 from stratapoint.plans.formats import patches as build
 from stratapoint.runtime import ship
 from stratapoint.sources.tables import columns_view
@@ -87,14 +87,14 @@ def get_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_suppkey", F.col("ordinal").cast("long").alias("ord"), F.posexplode(points.get_all(F.col("pt"), schema(101))).alias("dim", "val")).withColumn("val", F.round("val", 6))
 
 
-@query(f"WITH {_PTS} SELECT l_suppkey, ord, printf('{{\"pcid\":101,\"pt\":[%g,%g,%g,%g]}}', x * 0.01, y * 0.01, z * 0.01, i * 1.0) AS txt FROM pts")
+@query(f"WITH {_PTS} SELECT l_suppkey, ord, printf('{{\"pcid\":101,\"pt\":[%g,%g,%g,%g]}}', x * 0.01::DOUBLE, y * 0.01::DOUBLE, z * 0.01::DOUBLE, i * 1.0::DOUBLE) AS txt FROM pts")
 def point_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = patching.explode_points(build(spark, sf_dir), schema(101), "pa", ["l_suppkey"])
     return rows.select("l_suppkey", F.col("ordinal").cast("long").alias("ord"), points.as_text(F.col("pt"), schema(101)).alias("txt"))
 
 
 @query(f"""WITH {_PTS}
-    SELECT l_suppkey, '{{"pcid":101,"pts":[' || string_agg(printf('[%g,%g,%g,%g]', x * 0.01, y * 0.01, z * 0.01, i * 1.0), ',' ORDER BY ord) || ']}}' AS txt
+    SELECT l_suppkey, '{{"pcid":101,"pts":[' || string_agg(printf('[%g,%g,%g,%g]', x * 0.01::DOUBLE, y * 0.01::DOUBLE, z * 0.01::DOUBLE, i * 1.0::DOUBLE), ',' ORDER BY ord) || ']}}' AS txt
     FROM pts GROUP BY l_suppkey""")
 def patch_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(spark, sf_dir).select("l_suppkey", patches.as_text(F.col("pa"), schema(101)).alias("txt"))
@@ -333,7 +333,7 @@ def compression_and_memsize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PTS}, t AS (SELECT l_suppkey, count(*) AS n, min(x) AS x0, max(x) AS x1, round(sum(x)::DOUBLE / count(*)) AS xa, min(y) AS y0, max(y) AS y1, round(sum(y)::DOUBLE / count(*)) AS ya FROM pts GROUP BY l_suppkey)
-    SELECT l_suppkey, CAST(n AS BIGINT) AS npts, 'dimensional' AS compr, printf('%g', x0 * 0.01) AS x_min, printf('%g', x1 * 0.01) AS x_max, printf('%g', xa * 0.01) AS x_avg, printf('%g', y0 * 0.01) AS y_min, printf('%g', y1 * 0.01) AS y_max, printf('%g', ya * 0.01) AS y_avg FROM t""")
+    SELECT l_suppkey, CAST(n AS BIGINT) AS npts, 'dimensional' AS compr, printf('%g', x0 * 0.01::DOUBLE) AS x_min, printf('%g', x1 * 0.01::DOUBLE) AS x_max, printf('%g', xa * 0.01::DOUBLE) AS x_avg, printf('%g', y0 * 0.01::DOUBLE) AS y_min, printf('%g', y1 * 0.01::DOUBLE) AS y_max, printf('%g', ya * 0.01::DOUBLE) AS y_avg FROM t""")
 def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     s, pa = schema(101), F.col("pa")
@@ -444,7 +444,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_values() -> dict[str, Column]:
-    return {"X": F.col("user_id"), "Y": F.col("value"), "Time": F.unix_micros("ts") / 1e6}
+    return {"X": F.col("user_id"), "Y": F.col("value"), "Time": epoch_seconds("ts")}
 
 
 _EVENTS = "SELECT *, CAST(round(value / 0.01) AS BIGINT) AS y FROM events"
