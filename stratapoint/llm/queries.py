@@ -15,6 +15,7 @@ from stratapoint.llm.licenses import license_scan
 from stratapoint.llm.line_dedup import line_dedup_digest
 from stratapoint.llm.packing import pack
 from stratapoint.llm.quality import importance_resample
+from stratapoint.llm.suffix_dedup import suffix_dedup_digest
 from stratapoint.llm.token_records import token_records
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +51,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), words=3, num=90, den=100).drop("tag")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup_digest(_documents(spark, sf_dir))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(_documents(spark, sf_dir), BYTE_TOKENIZER).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_records": op7_token_records,
     "op8_decontamination": op8_decontamination,
     "op9_licenses": op9_licenses,
@@ -99,6 +105,20 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT c.doc_id, e.y FROM c JOIN e ON c.r = e.x)
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(r) FROM c WHERE c.doc_id = d.doc_id) AS component_id
         FROM d LEFT JOIN n USING (doc_id)""",
+    "op6_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS g
+              FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) // 2 - 99 AS BIGINT))) AS i FROM d WHERE len(h) >= 200)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+        n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
+        s AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+        spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM s GROUP BY doc_id, k),
+        p AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM spans),
+        o AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS head
+              FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN o USING (doc_id)""",
     "op8_decontamination": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
