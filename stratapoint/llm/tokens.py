@@ -8,9 +8,10 @@ a bounded dictionary. ``encode`` gives exactly what ``Tokenizer.encode(text, add
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 from functools import cache
 
-import numpy as np
 import public_tokenizers
 
 #: The end of a document in every operator here.
@@ -18,32 +19,52 @@ END_ID = 0
 END = END_ID.to_bytes(4, "little")
 #: A single space between two other characters always starts a piece of the byte-level pattern.
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: Where white space or other marks stand before white space or a stop, a stop is not sure to be a piece of its own.
+_ODD = re.compile(r"\s\s|(?:[^\w\s]|_)[,.]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class _Pieces(dict):
     """text piece -> its ids as little-endian unsigned 32-bit integers."""
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, drops_space: bool):
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(file)
         own.encode_special_tokens = True
         self.own, self.normalizer, self.split, self.model = own, own.normalizer, own.pre_tokenizer.pre_tokenize_str, own.model
-        self.parts: dict[str, bytes] = {}
+        self.lead = "" if drops_space else " "
+        self.letters = _byte_letters()
+        self.stops = {x: self._ids(x) for x in ",."}
+        self[""] = b""
+
+    def _ids(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        word = piece[1:] if self.lead and piece[:1] == " " else piece
+        if word[-1:] in self.stops and word[:-1].isalpha():
+            return self[piece[:-1]] + self.stops[word[-1]]  # a stop is a piece of its own after letters
+        if word.isalpha():  # one piece for the model
+            if not word.isascii():
+                piece = unicodedata.normalize("NFC", piece) if self.normalizer else piece
+                ids = self._ids(piece.encode().decode("latin-1").translate(self.letters))
+            else:
+                ids = self._ids("\u0120" + word if piece != word else word)
+        else:
+            ids = b"".join(self._ids(s) for s, _ in self.split(self.normalizer.normalize_str(piece) if self.normalizer else piece))
         if len(self) >= self.LIMIT:
             self.clear()
-        out, parts = [], self.parts
-        for s, _ in self.split(self.normalizer.normalize_str(piece) if self.normalizer else piece):
-            if (ids := parts.get(s)) is None:
-                if len(parts) >= self.LIMIT:
-                    parts.clear()
-                ids = parts[s] = np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
-            out.append(ids)
-        ids = self[piece] = out[0] if len(out) == 1 else b"".join(out)
+            self[""] = b""
+        self[piece] = ids
         return ids
 
 
@@ -51,20 +72,21 @@ class Encoder:
     """file: a path of a tokenizers file; drops_space: whether its pre-tokenizer drops all white space."""
 
     def __init__(self, file: str, drops_space: bool):
-        self.pieces, self.drops_space = _Pieces(file), drops_space
+        self.pieces, self.drops_space = _Pieces(file, drops_space), drops_space
         self.vocabulary = self.pieces.own.get_vocab_size()
 
     def encode(self, text: str) -> bytes:
         """The ids, 4 bytes each, without the end id."""
+        plain = not _ODD.search(text)
         if self.drops_space:
-            if "Σ" not in text and "İ" not in text:  # else lower() depends on what stands beside them
-                text = text.lower()
-            cut = text.replace("\n", " ").split(" ")
-        elif "  " in text:
-            cut = _SAFE.split(text)
+            text = text.lower() if "Σ" not in text and "İ" not in text else text.replace("Σ", "σ").replace("İ", "i̇").lower()  # no rule for the end of a word
+            text = text.replace("\n", " ")
+            cut = (text.replace(", ", " , ").replace(". ", " . ") if plain else text).split(" ")
+        elif plain and "\0" not in text:
+            text = text.replace(" ", "\0 ").replace(",\0 ", "\0,\0 ").replace(".\0 ", "\0.\0 ").replace(".\n", "\0.\0\n\0")
+            cut = text.split("\0")
         else:
-            first, *rest = text.split(" ")
-            cut = [first, *[" " + x for x in rest]]
+            cut = _SAFE.split(text)
         return b"".join(map(self.pieces.__getitem__, cut))
 
 
