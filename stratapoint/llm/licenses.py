@@ -66,7 +66,7 @@ class Vectors:
         """A pattern for lower-cased lines that is in every line whose cosine can reach least."""
         common = set(COMMON)
         for v, norm in zip(self.weights, self.norms, strict=True):
-            for t in sorted(v, key=v.get, reverse=True):
+            for t in sorted(v, key=lambda t: (not t.isdigit(), -len(t))):  # figures and long words are rarer in running text
                 if sum(v[x] ** 2 for x in v if x in common) < (least * norm) ** 2:
                     break
                 common.discard(t)
