@@ -166,7 +166,7 @@ def _chunks(length: int, shift: int, bits):
                         continue
                     if own < old:
                         best[key], own = own, old
-                    if own[0] != old[0] or own[1] != old[1]:
+                    if own != best[key]:
                         gone.setdefault(own[0], []).append((own[1], own[1] + len(key[1])))
             rows = [(x, not doc[0], doc[1], doc[2], s, len(body) - length + 1, body) for (x, body), (doc, s) in best.items()]
             for doc, spans in gone.items():
