@@ -51,8 +51,8 @@ def fmt_g(value: Column) -> Column:
     def digits(s: Column) -> Column:
         exp = F.substring_index(s, "E", -1).cast("int")
         sign = F.when(F.startswith(s, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-        six = F.regexp_replace(F.substring_index(s, "E", 1), "[-.]", "")
-        trim = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\..*?)0+$", "$1"), r"\.$", "")
+        six = F.translate(F.substring_index(s, "E", 1), "-.", "")
+        trim = lambda x: F.rtrim(F.rtrim(x, F.lit("0")), F.lit("."))  # noqa: E731  x has a point
         mantissa = trim(F.concat(F.substring(six, 1, 1), F.lit("."), F.substring(six, 2, 5)))
         tail = F.concat(F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), 2, "0"))
         wide = F.when(F.abs(exp) > 99, F.concat(F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.abs(exp).cast("string"))).otherwise(tail)
