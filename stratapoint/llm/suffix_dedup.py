@@ -35,6 +35,8 @@ from stratapoint.runtime import Scratch, ship
 SEED = 32
 #: The largest bit filter that is broadcast: 64 MiB.
 FILTER_BITS = 1 << 29
+#: Documents whose chunks are held together before they travel.
+BATCH_ROWS = 4000
 #: Symbols that are suffix-sorted together.
 BATCH_SYMBOLS = 1 << 20
 
@@ -148,7 +150,7 @@ def _chunks(length: int, shift: int, bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.frombuffer(bits.value, np.uint8)
-        for b in batches:
+        for b in (x.slice(i, BATCH_ROWS) for x in batches for i in range(0, x.num_rows, BATCH_ROWS)):
             best: dict[tuple[int, bytes], tuple] = {}
             gone: dict[tuple, list[tuple[int, int]]] = {}
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -325,7 +327,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     n = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     log = max(20, min(FILTER_BITS.bit_length() - 1, (16 * n).bit_length()))
     bits = np.zeros((1 << log) // 8, np.uint8)
-    for r in repeated.select("hashes").mapInArrow(_segments(64 - log), "part long, bits binary").toLocalIterator():  # the filter's own size, in segments
+    for r in repeated.select("hashes").mapInArrow(_segments(64 - log), "part long, bits binary").collect():  # the filter's own size, in segments
         a = r.part * _SEGMENT // 8
         bits[a : a + _SEGMENT // 8] |= np.frombuffer(r.bits, np.uint8)[: len(bits) - a]
     sent = spark.sparkContext.broadcast(bits.tobytes())
