@@ -10,7 +10,8 @@ one before; every level is exact, so no link is lost.
   link differ in at most k elements, so by pigeonhole there are groups in which they differ in one at most, and there they
   share a region. The set sizes that can link define bands (k depends on size); a document near a band's upper border is
   replicated to the next one. Regions whose content is too small to tell are skipped where pigeonhole still leaves one.
-* Level 1. Regions that share documents form a cell. A cell that is large is joined again with other pivots: single
+* Level 1. Regions that share documents form a cell. In a large cell, a document with so many shingles of its own that it
+  is farther than the threshold from everything else leaves. A cell that is still large is joined again with other pivots: single
   shingles, ordered with those that are common in a sample of the cell last. A document is replicated to the regions of
   the first shingles that a set within the threshold must hit (the window).
 * Level 2. Inside a cell the pivots are documents, the most central first, and distances are computed exactly. Each
@@ -283,6 +284,49 @@ def _by_block(big: DataFrame, pivots: DataFrame, make: Callable, schema: str) ->
     return out
 
 
+def _names_of(buckets: int):
+    """All shingles of a document under its cell, as region names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, nodes = [], []
+            for cell, node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                s = np.frombuffer(s.as_buffer(), "<u8")
+                names.append(mix64(s + mix64(np.array([cell], np.int64).view(np.uint64))))
+                nodes.append(np.full(len(s), node, np.int64))
+            if names:
+                yield _packed(np.concatenate(names), np.concatenate(nodes), buckets)
+
+    return run
+
+
+def _private(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many names of a task belong to one node only, by node."""
+    names, nodes = [], []
+    for b in batches:
+        for bucket, row in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            x, own = _unpacked(row.as_buffer().to_pybytes())
+            names.append(x | np.uint64(bucket % 65536) << np.uint64(48))
+            nodes.append(own)
+    if not names:
+        return
+    name, node = np.concatenate(names), np.concatenate(nodes)
+    order = np.argsort(name)
+    name, node = name[order], node[order]
+    new = np.r_[True, name[1:] != name[:-1], True]
+    alone, many = np.unique(node[new[1:] & new[:-1]], return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(alone), pa.array(many.astype(np.int64))], ["node", "alone"])
+
+
+def _sharing(scratch: Scratch, big: DataFrame, rule: Rule, buckets: int, name: str) -> DataFrame:
+    """Documents of large cells that can link at all: too many shingles of their own rule that out."""
+    alone = big.select("cell", "node", "shingles").mapInArrow(_names_of(buckets), "bucket int, packed binary").repartition("bucket").mapInArrow(_private, "node long, alone long")
+    alone = scratch.table(alone.groupBy("node").agg(F.sum("alone").alias("alone")), f"{name}-alone")
+    n = F.length("shingles") / 8
+    left = big.join(alone, "node", "left").where(rule.den * (n - F.coalesce("alone", F.lit(0))) >= rule.num * n)
+    return scratch.table(left.select("cell", "node", "pop", "shingles"), f"{name}-left")
+
+
 def _by_prefix(rule: Rule, buckets: int):
     """Level 1: the regions of the first shingles of each document, those common in its cell last."""
 
@@ -444,6 +488,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     small, big = split(loaded, "first")
     roots = [joined(small)]
+    for k in ("a", "b"):  # what leaves in one turn may leave others alone in the next
+        if not big.isEmpty():
+            small, big = split(_sharing(scratch, big, rule, buckets, k), k)
+            roots.append(joined(small))
     if not big.isEmpty():
         sample = big.where(F.pmod(F.xxhash64("node"), F.col("docs")) < SAMPLE).select("cell", "node", "shingles")
         again = _edges(scratch, _by_block(big.drop("docs"), sample, _by_prefix(rule, buckets), "bucket int, packed binary"), "edges-again")
