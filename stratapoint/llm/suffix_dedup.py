@@ -1,12 +1,12 @@
 """Suffix-array dedup: remove every byte covered by a string of ``length`` bytes that also starts earlier.
 
 Shards. Every window of ``length`` bytes has an anchor: the leftmost of its ``SEED``-byte strings with the least hash. Equal
-windows have equal anchors, so what shares an anchor is compared in one place, and consecutive windows of one anchor
-travel as one chunk (35 windows on average). First the anchors' hashes are counted; a bit filter of those that occur twice
-(a size chosen from their number, at most ``FILTER_BITS``) is broadcast, and only chunks of such anchors go to shards.
+windows have equal anchors, and equal text for ``SEED`` more bytes before or behind it (whichever half the window reaches
+farther into); that context is the key of a comparison, and consecutive windows of one key travel as one chunk. First the keys are counted; a bit filter of those that occur twice
+(a size chosen from their number, at most ``FILTER_BITS``) is broadcast, and only chunks of such keys go to shards.
 Equal chunks are resolved before they travel: within a batch, all but the earliest lose all their windows at once.
 
-In a shard, the distinct chunks of an anchor are one string; many strings are suffix-sorted together by induced sorting
+In a shard, the distinct chunks of a key are one string; many strings are suffix-sorted together by induced sorting
 (suffix types, recursive sorting of leftmost S substrings, two induction passes: see ``suffix_array``). Runs of the suffix
 array whose permuted common prefixes reach ``length`` are equal windows; all but the earliest go.
 
@@ -44,7 +44,7 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last window start of each run of windows that share an anchor."""
+    """Key, first and last window start of each run of windows that share an anchor and the half of its context."""
     n = len(text) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -63,7 +63,14 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         value = np.where(later, b, a)
         m += step
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return h[at[first]], first, np.r_[first[1:], n] - 1
+    last, at = np.r_[first[1:], n] - 1, at[first].astype(np.int64)
+    # Windows that reach far before their anchor share what stands before it, the others what stands behind it.
+    side = min(SEED, (length - SEED) // 2)
+    before, behind = first <= at - side, last > at - side
+    b, e = at[before], at[behind]
+    keys = np.concatenate((mix64(h[b - side] * np.uint64(3) + h[b]), mix64(h[e] * np.uint64(5) + h[e + side])))
+    first, last = np.concatenate((first[before], np.maximum(first[behind], e - side + 1))), np.concatenate((np.minimum(last[before], b - side), last[behind]))
+    return keys, first, last
 
 
 def _hashes(length: int, buckets: int):
