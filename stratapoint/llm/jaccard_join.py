@@ -480,7 +480,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     def split(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         sizes = members.groupBy("cell").agg(F.count("*").alias("docs"), F.sum(F.length("shingles") / 8).alias("all"))
         large = scratch.table(sizes.where((F.col("docs") > CELL_DOCS) | (F.col("all") > CELL_SHINGLES)).select("cell", "docs"), f"{name}-large")
-        return members.join(large.select("cell"), "cell", "left_anti"), scratch.table(members.join(large, "cell").select("cell", "node", "pop", "shingles", "docs"), f"{name}-big")
+        large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large  # one row for each large cell; the sets stay where they are
+        return members.join(large, "cell", "left_anti"), members.join(large, "cell").select("cell", "node", "pop", "shingles", "docs")
 
     def joined(members: DataFrame) -> DataFrame:
         by_cell = members.select("cell", "node", "pop", "shingles").repartition("cell").sortWithinPartitions("cell")
