@@ -312,6 +312,26 @@ def test_licenses(spark):
     assert licenses.license_scan(df.where("1 = 0")).count() == 0
 
 
+def test_license_notices_within_text(spark):
+    """Words around a notice, line ends and comment marks do not count; tags are read."""
+    cases = {
+        "Copyright 2020 Jane Doe. Released under the MIT License.": "MIT",
+        "Released under the MIT License, see LICENSE for details.": "MIT",
+        "This file is released under the MIT License.": "MIT",
+        "Copyright (c) 2020 The Foo Authors. All rights reserved.": "Proprietary",
+        "# Copyright 2020 Foo. All rights reserved.\n# Licensed under the Apache License,\n# Version 2.0 (the \"License\");\nimport os": "Apache-2.0",
+        "/* it under the terms of the GNU General Public\n * License as published by the Free Software Foundation; either\n * version 2 of the License, or (at your option) any later version.": "GPL-2.0",
+        "# SPDX-License-Identifier: MIT\nx = 1": "MIT",
+        "// SPDX-License-Identifier: GPL-2.0-only */": "GPL-2.0",
+        "<!-- SPDX-License-Identifier: MIT OR Zlib -->": "MIT OR Zlib",
+        "Released under the Zlib License.": None,
+        "Licensed under the Zlib License, Version 2.0.": None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, text string").selectExpr("concat('s', id, '/x.c') as path", "text")
+    got = {r.text: r.own_license for r in licenses.license_scan(df).collect()}
+    assert got == cases
+
+
 def test_license_cues_are_exact():
     """Whatever reaches the threshold holds a cue."""
     v = licenses.Vectors()
