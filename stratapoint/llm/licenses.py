@@ -9,11 +9,12 @@ only raises the cosine), has its words of ``NAMES`` and at most 1 / least^2 time
 other terms carry less than least^2 of its squared length, a span without an anchor stays below least (Cauchy and Schwarz).
 SPDX tags are read as they stand.
 
-Licence files: the units are whole texts of files that state a licence. A file whose whole text reaches ``file_least`` is a
-licence file and speaks for its directory (several: best score, then smallest path).
+Licence files: the units are whole texts, compared with the same templates and, with logarithmic term counts and inverse
+frequencies of their own, with full licence texts (folder license_texts). Texts that hold a word of ``GATE`` or an anchor that is not in ``EVERYDAY``, and files named like a licence file, are compared. A
+file whose text reaches ``file_least`` is a licence file and speaks for its directory (several: best score, then smallest path).
 
-A file's own licence is its SPDX tag, else its best notice (a grant before "all rights reserved", then the best score,
-then the first). Files without their own inherit from the nearest ancestor
+A file's own licence is that of the full text it is, else its SPDX tag, else its best notice (a grant before
+"all rights reserved", then the best score, then the first). Files without their own inherit from the nearest ancestor
 directory that has one: the distinct directories are joined with it by their ancestors' paths, then the files by theirs.
 
 Null text has no licence, a null path no directory; rows that repeat path and text have one result each; without files
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +59,12 @@ TEMPLATES = (
     ("Proprietary", "Copyright, all rights reserved."),
     ("Proprietary", "All rights reserved."),
 )
+TEXTS = Path(__file__).parent / "license_texts"
+#: Words one of which is in every template and licence text.
+GATE = ("license", "licensed", "licence", "licenced", "copyright", "redistribution", "permission", "released", "reserved", "terms")
+#: Names that are everyday words of some language: alone they make no text a candidate for a licence file.
+EVERYDAY = frozenset(["mit"])
+FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[sc]e|copying|copyright|notice)[^/]*$"
 _ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?\)*"
 SPDX = rf"(?i)SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:OR|AND|WITH)[ \t]+{_ID})*)"
 #: Template terms that any text may have.
@@ -73,13 +81,14 @@ def terms(text: str) -> list[str]:
 class Vectors:
     """The templates' TF-IDF vectors."""
 
-    def __init__(self, templates=TEMPLATES):
+    def __init__(self, templates=TEMPLATES, log: bool = False):
+        self.log = log
         self.licenses = [name for name, _ in templates]
         counts = [Counter(terms(text)) for _, text in templates]
         df = Counter(t for c in counts for t in c)
         self.idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in sorted(df.items())}
         self.unknown = math.log(1 + len(counts)) + 1
-        self.weights = [{t: n * self.idf[t] for t, n in c.items()} for c in counts]
+        self.weights = [{t: (1 + math.log(n) if log else n) * self.idf[t] for t, n in c.items()} for c in counts]
         self.norms = [math.sqrt(sum(w * w for w in v.values())) for v in self.weights]
 
     def names(self) -> list[list[str]]:
@@ -112,6 +121,10 @@ def _any(words) -> str:
     return r"(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in sorted(words)) + r")(?![a-z0-9])"
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    return tuple((f.stem, f.read_text()) for f in sorted(TEXTS.glob("*.txt")))
+
+
 def _words(text: str) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -157,7 +170,7 @@ def _scores(units: DataFrame, key: list[str], text: str, v: Vectors) -> DataFram
     words = units.select(*key, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("term")).where("term <> ''").groupBy(*key, "term").agg(F.count("*").alias("tf"))
     rows = ", ".join(f"('{t}', {idf!r}D, array({', '.join(f'{w.get(t, 0.0)!r}D' for w in v.weights)}))" for t, idf in v.idf.items())
     model = units.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS m(term, idf, w)")
-    own = F.col("tf") * F.coalesce("idf", F.lit(v.unknown))
+    own = (F.log("tf") + 1 if v.log else F.col("tf")) * F.coalesce("idf", F.lit(v.unknown))
     sums = [F.sum(own * F.coalesce(F.col("w")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(v.norms))]
     got = words.join(F.broadcast(model), "term", "left").groupBy(*key).agg(F.sum(own * own).alias("n"), *sums)
     score = lambda i, norm: F.round(F.col(f"d{i}") / (F.sqrt("n") * norm), 6)
@@ -172,7 +185,7 @@ def _directory(path: Column) -> Column:
 def _spdx_name(tag: Column) -> Column:
     """The tag as it stands, without -only and -or-later, which the templates' names do not have either."""
     plain = F.regexp_replace(F.regexp_replace(tag, r"(?i)-(?:only|or-later)(?![A-Za-z0-9.+-])", ""), r"\+(?![A-Za-z0-9.+-])", "")
-    known = {name.lower(): name for name, _ in TEMPLATES}
+    known = {name.lower(): name for name, _ in (*TEMPLATES, *full_texts())}
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.lower(plain)), plain)
 
 
@@ -184,20 +197,24 @@ def license_scan(files: DataFrame, templates=TEMPLATES, least: float = 0.8, file
     key = ["path", "__text"]
     license_of = lambda i: F.element_at(F.array(*[F.lit(name) for name, _ in templates]), i + 1)
     anchors = {t for found in v.notice_anchors(least) for t in found}
-    stating = base.select(*key, "text").where(F.lower("text").rlike(_any(anchors)))
+    lower, named = F.lower("text"), F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    stating = base.select(*key, "text").where(lower.rlike(_any(anchors)))
     tagged = base.select(*key, "text").where(F.col("text").rlike(SPDX))
+    candidates = base.select(*key, "text").where(lower.rlike(_any((anchors - EVERYDAY) | set(GATE))) | named)
+    candidates = scratch.table(candidates.where("text is not null").dropDuplicates(key), "candidates")
+    full_at = scratch.table(_scores(candidates, key, "text", Vectors(full_texts(), log=True)).where(F.col("best.score") >= file_least), "full")
+    short_at = _scores(candidates, key, "text", v).where(F.col("best.score") >= file_least)
+    files_at = full_at.unionByName(short_at)
     grant = ~F.col("license").eqNullSafe("Proprietary")
     spans = _notices(stating, key, templates, v, least).withColumn("license", license_of(F.col("template")))
     rank = lambda kind, score, at, order, name: F.struct(kind.alias("kind"), score.alias("score"), at.alias("first"), order.alias("order"), name.alias("license")).alias("own")
     spans = spans.select(*key, rank(grant.cast("int"), F.col("score"), -F.col("start"), -F.col("template"), F.col("license")))
     ids = F.regexp_extract("text", SPDX, 1)
     tags = tagged.select(*key, rank(F.lit(2), F.lit(1.0), F.lit(0), F.lit(0), _spdx_name(ids)))
-    notices = spans.unionByName(tags).groupBy(*key).agg(F.max("own").alias("own"))
+    full = full_at.select(*key, rank(F.lit(3), F.col("best.score"), F.lit(0), F.col("best.order"), F.col("best.license")))
+    notices = spans.unionByName(tags).unionByName(full).groupBy(*key).agg(F.max("own").alias("own"))
     notices = scratch.table(notices.select(*key, F.col("own.license").alias("own_license"), F.col("own.score").alias("own_score")), "notices")
-    same = lambda a, b: a["path"].eqNullSafe(b["path"]) & (a["__text"] == b["__text"])
-    stated = stating.join(notices, same(stating, notices), "left_semi").where("path is not null")
-    speaking = _scores(stated, key, "text", v).where(F.col("best.score") >= file_least)
-    speaking = speaking.groupBy(_directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("best.score")).alias("s"), "path", F.col("best.license").alias("license"))).alias("file"))
+    speaking = files_at.where("path is not null").groupBy(_directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("best.score")).alias("s"), "path", F.col("best.license").alias("license"))).alias("file"))
     speaking = scratch.table(speaking.select("dir", "file.license"), "speaking")
     dirs = scratch.table(base.where("path is not null").select(_directory(F.col("path")).alias("dir")).distinct(), "dirs")
     parts = F.split("dir", "/")

@@ -332,6 +332,25 @@ def test_license_notices_within_text(spark):
     assert got == cases
 
 
+def test_license_files_speak(spark):
+    """Real licence files, whole or their openings, are their own best template and speak for their directories."""
+    texts = dict(licenses.full_texts())
+    opening = texts["MIT"].split("THE SOFTWARE IS")[0].replace("<year> <copyright holders>", "2021 Jane Doe")
+    files = [(f"{name}/LICENSE", text) for name, text in texts.items()] + [("opened/COPYING", opening)]
+    rows = files + [(f"{path.rsplit('/', 1)[0]}/src/a.py", "x = 1") for path, _ in files] + [("prose/LICENSE", "A plain story about the sea, the wind and a license to sail"), ("prose/a.py", "x")]
+    got = {r.path: r for r in licenses.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in [*texts, "opened"]:
+        license_, file = ("MIT", "opened/COPYING") if name == "opened" else (name, f"{name}/LICENSE")
+        assert got[file].own_license == license_
+        assert (got[f"{name}/src/a.py"].license, got[f"{name}/src/a.py"].inherited_from) == (license_, name)
+    assert got["prose/a.py"].license is None
+
+
+def test_license_gate_holds_every_template():
+    for _, text in (*licenses.TEMPLATES, *licenses.full_texts()):
+        assert set(licenses.terms(text)) & set(licenses.GATE), text
+
+
 def test_license_cues_are_exact():
     """Whatever reaches the threshold holds a cue."""
     v = licenses.Vectors()
