@@ -250,6 +250,27 @@ def patch_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("left.l_suppkey").alias("a"), F.col("right.l_suppkey").alias("b"))
 
 
+#: Boxes of whole patches that hold every point: suppliers in 100 groups, each cut into cells of 20,000 by 10.
+_COMPACT = f"""{_PTS}, b AS (SELECT l_suppkey % 100 AS g, CAST(floor(l_extendedprice / 20000) AS BIGINT) AS cx, CAST(floor(l_quantity / 10) AS BIGINT) AS cy,
+    count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY ALL)"""
+
+
+def _compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = lambda c, side: F.floor(F.col(c) / side).cast("long")
+    rows = lineitem(spark, sf_dir).withColumns({"g": F.col("l_suppkey") % 100, "cx": cell("l_extendedprice", 20000), "cy": cell("l_quantity", 10)})
+    return patching.patchify(rows, schema(101), values(), ["g", "cx", "cy"], order())
+
+
+@query(f"""WITH {_COMPACT} SELECT a.g AS a, a.cx AS a_cx, a.cy AS a_cy, a.n AS a_n, b.g AS b, b.cx AS b_cx, b.cy AS b_cy, b.n AS b_n
+    FROM b AS a JOIN b ON a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0""")
+def patch_overlap_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of whole compact patches; patch_overlap_join has the boxes of each supplier's first three points."""
+    pa = F.col("pa")
+    own = _compact(spark, sf_dir).select("g", "cx", "cy", pa["npoints"].cast("long").alias("n"), pa["bounds"].alias("box"))
+    pairs = spatial.overlap_join(own, own, F.col("box"), F.col("box"), cell=1000.0)
+    return pairs.select(*[F.col(f"{side}.{c}").alias(n if c == "g" else f"{n}_{c}") for side, n in (("left", "a"), ("right", "b")) for c in ("g", "cx", "cy", "n")])
+
+
 @query(f"""WITH {_PTS}, b AS (SELECT l_suppkey, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts WHERE ord <= 3 GROUP BY l_suppkey)
     SELECT l_suppkey, x0 <= 4000000 AND x1 >= 1000000 AND y0 <= 2000 AND y1 >= 1000 AS hit FROM b""")
 def patch_intersects_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,10 @@ def test_query(spark, oracle, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_overlap_join_is_of_whole_patches(spark, oracle):
+    """Each patch meets itself, and these patches hold every point."""
+    rows = points.QUERIES["patch_overlap_join_whole"](spark, SF).where("a = b and a_cx = b_cx and a_cy = b_cy").agg({"a_n": "sum"}).first()
+    assert rows[0] == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
