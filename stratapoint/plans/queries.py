@@ -279,6 +279,13 @@ def patch_intersects_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(spark, sf_dir).select("l_suppkey", geo.patch_intersects_polygon(small, ring).alias("hit"))
 
 
+@query(f"WITH {_COMPACT} SELECT g, cx, cy, n, x0 <= 4000000 AND x1 >= 1000000 AND y0 <= 2000 AND y1 >= 1000 AS hit FROM b")
+def patch_intersects_geometry_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole compact patches; patch_intersects_geometry tests each supplier's first three points."""
+    ring = [(10000.0, 10.0), (10000.0, 20.0), (40000.0, 20.0), (40000.0, 10.0)]
+    return _compact(spark, sf_dir).select("g", "cx", "cy", F.col("pa")["npoints"].cast("long").alias("n"), geo.patch_intersects_polygon(F.col("pa"), ring).alias("hit"))
+
+
 _clip = "WITH {pts} SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY ord) AS ord, x, y, z, i FROM pts WHERE {cond}"
 
 
