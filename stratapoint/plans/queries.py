@@ -225,6 +225,13 @@ def make_patch_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("l_suppkey", take(0).alias("x"), take(1).alias("y"))
 
 
+@query(f"WITH {_PTS} SELECT l_suppkey, ord, x, y, z, i FROM pts")
+def make_patch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points of a supplier's patch made from one array of values; make_patch_array makes it from five points."""
+    every = patching.array_agg(_points(spark, sf_dir), points.get_all(F.col("pt"), schema(101)), ["l_suppkey"], order())
+    return _exploded(every.withColumn("pa", patches.make_patch(schema(101), F.flatten("values"))), F.col("pa"))
+
+
 @query(f"WITH {_PTS} SELECT l_suppkey, ord, 7 AS i1, x, y, z, 7 AS i2 FROM pts")
 def set_pcid_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(build(spark, sf_dir), intra.set_pcid(F.col("pa"), schema(101), schema(104), 7.0), 104, ("i1", "x", "y", "z", "i2"))

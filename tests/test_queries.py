@@ -60,3 +60,8 @@ def test_intersects_geometry_of_whole_patches(spark, oracle):
     rows = points.QUERIES["patch_intersects_geometry_whole"](spark, SF).collect()
     assert sum(r.n for r in rows) == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
     assert {r.hit for r in rows} == {True, False}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_make_patch_of_every_point(spark, oracle):
+    assert points.QUERIES["make_patch_whole"](spark, SF).count() == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
