@@ -5,7 +5,8 @@ as Parquet in the shared folder and reads it again.
 
 1. language_id: documents in no known language go (no letters, or far from every profile). The models learn from the
    labelled rows that are not held out.
-2. exact_dedup: of equal texts, the row with the largest doc_id stays.
+2. exact_dedup: of equal texts, the row with the largest doc_id stays; of rows that also repeat the doc_id (or all have none), the
+   least row by all columns.
 3. near_dedup: five-word shingles, Jaccard 0.8 or more; the smallest doc_id of each group stays.
 4. decontamination: documents with passages of two or more benchmark items go; of others the passages themselves go.
 5. packing: sequences of at most 2048 ids.
@@ -13,6 +14,8 @@ as Parquet in the shared folder and reads it again.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return rows.without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    """One row of each text; rows that repeat doc_id and text are ties, of which the least by all columns stays."""
+    scratch = Scratch(spark)
+    names = docs.columns
+    left = rows.without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    text = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    left = left.select("*", F.sha2(text, 256).alias("__digest"))
+    ties = left.groupBy("doc_id", "__digest").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("__digest").alias("__tie"))
+    ties = scratch.table(ties, "ties")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__tie"))
+    first = left.join(ties, same).groupBy("doc_id", "__digest").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("first"))
+    return left.join(ties, same, "left_anti").select(*[F.col(f"`{c}`") for c in names]).unionByName(first.select("first.*"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

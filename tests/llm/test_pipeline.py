@@ -37,3 +37,11 @@ def test_run(spark, tmp_path):
     assert {r.doc_id for r in got} == {i for i, _ in kept}
     assert len({r.sequence_id for r in got}) <= len(plain_best_fit([r.length for r in got], 2048))
     assert all(np.array([r.offset + r.length <= 2048 for r in got]))
+
+
+def test_exact_stage_keeps_one_row_of_repeats(spark):
+    """Rows loaded twice, and equal texts without ids, keep one row; other rows stay."""
+    once = [(1, "a b", "x"), (2, "A b", "x"), (3, "c", None), (4, None, "x"), (None, "only here", "x")]
+    docs = spark.createDataFrame(once + once + [(3, "C", "y"), (None, "ONLY here", "x")], "doc_id long, text string, source string")
+    got = sorted(map(tuple, corpus_pipeline.dedup_exact(spark, docs, "").collect()), key=str)
+    assert got == sorted([(2, "A b", "x"), (3, "C", "y"), (4, None, "x"), (None, "ONLY here", "x")], key=str)
