@@ -1,5 +1,6 @@
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -15,7 +16,8 @@ def canonical(rows, names):
     order = sorted(range(len(names)), key=lambda i: names[i])
 
     def text(v):
-        if isinstance(v, float):
+        if isinstance(v, float | Decimal):
+            v = float(v)
             return "nan" if math.isnan(v) else f"{v:.9g}"
         return str([text(x) for x in v]) if isinstance(v, list | tuple) else str(v)
 
