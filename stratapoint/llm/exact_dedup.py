@@ -13,7 +13,6 @@ Further columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratapoint.llm.rows import tag
 from stratapoint.llm.text import LOWER
 from stratapoint.runtime import Scratch, ship
 
@@ -32,7 +32,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [t or b"" for t in b.column(1).to_pylist()]
         d = [hashlib.sha256(t.translate(LOWER)).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array(d, pa.binary())], ["doc_id", "tag", "digest"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tag(t) for t in texts], pa.binary()), pa.array(d, pa.binary())], ["doc_id", "tag", "digest"])
 
 
 def prune(counts: dict[bytes, int], k: int) -> dict[bytes, int]:
@@ -64,11 +64,11 @@ def heavy_hitters(digests: DataFrame, k: int) -> dict[bytes, int]:
 
 
 def exact_dedup(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, tag (CRC-32 of the text as it is) for every row of docs(doc_id, text)."""
+    """doc_id, keep_id, group_size, kept, text_sha256, tag (of the text as it is, see ``rows``) for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    table = Scratch(spark).table(own.mapInArrow(_digests, "doc_id long, tag long, digest binary"), "digests")
+    table = Scratch(spark).table(own.mapInArrow(_digests, "doc_id long, tag binary, digest binary"), "digests")
 
     schema = "digest binary, keep_id long, group_size long"
     candidates = spark.createDataFrame([(bytearray(d),) for d in heavy_hitters(table, k)], "digest binary")

@@ -27,10 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratapoint.llm.rows import tag, tag_of
 from stratapoint.llm.text import LOWER, SPACE
 from stratapoint.runtime import Scratch, ship
 
-_LINES = "h1 long, h2 long, no_id boolean, doc_id long, tag long, pos int"
+_LINES = "h1 long, h2 long, no_id boolean, doc_id long, tag binary, pos int"
 _NAMES = [x.split()[0] for x in _LINES.split(", ")]
 
 
@@ -40,17 +41,18 @@ def _explode(min_chars: int):
             hashes, ids, tags, pos = [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or b""
-                tag, had = zlib.crc32(text), len(pos)
+                had = len(pos)
                 for i, line in enumerate(text.translate(LOWER).split(b"\n")):
                     key = line.strip(SPACE)
                     if len(key) >= min_chars and (key.isascii() or len(key.decode()) >= min_chars):
                         hashes.append(xxhash.xxh3_128_digest(key))
                         pos.append(i)
                 ids += [doc_id] * (len(pos) - had)
-                tags += [tag] * (len(pos) - had)
+                if len(pos) > had:
+                    tags += [tag(text)] * (len(pos) - had)
             h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
             doc = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), doc.is_null(), doc, pa.array(tags, pa.int64()), pa.array(pos, pa.int32())], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), doc.is_null(), doc, pa.array(tags, pa.binary()), pa.array(pos, pa.int32())], _NAMES)
 
     return run
 
@@ -78,38 +80,38 @@ def _judge(min_docs: int):
     return run
 
 
-_BITMAPS = "doc_id long, tag long, n_dropped int, last int, keep_bitmap binary"
+_BITMAPS = "doc_id long, tag binary, n_dropped int, last int, keep_bitmap binary"
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by document, row and position: one bitmap for each row of documents."""
 
-    def out(held: list[tuple[int | None, int, list[int]]]) -> pa.RecordBatch:
+    def out(held: list[tuple[int | None, bytes, list[int]]]) -> pa.RecordBatch:
         maps = []
         for _, _, pos in held:
             stays = np.ones(pos[-1] + 1, np.uint8)
             stays[pos] = 0
             maps.append(zlib.compress(np.packbits(stays).tobytes()))
-        cols = [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([len(h[2]) for h in held], pa.int32()), pa.array([h[2][-1] for h in held], pa.int32()), pa.array(maps, pa.binary())]
+        cols = [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array([len(h[2]) for h in held], pa.int32()), pa.array([h[2][-1] for h in held], pa.int32()), pa.array(maps, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _BITMAPS.split(", ")])
 
-    held: list[tuple[int | None, int, list[int]]] = []
+    held: list[tuple[int | None, bytes, list[int]]] = []
     for b in batches:
-        for doc_id, tag, pos in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if held and held[-1][:2] == (doc_id, tag):
+        for doc_id, tag_, pos in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if held and held[-1][:2] == (doc_id, tag_):
                 if held[-1][2][-1] != pos:  # repeated rows bring every position again
                     held[-1][2].append(pos)
             else:
                 if len(held) >= 5000:
                     yield out(held)
                     held = []
-                held.append((doc_id, tag, [pos]))
+                held.append((doc_id, tag_, [pos]))
     if held:
         yield out(held)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """doc_id, tag (CRC-32 of the text), n_dropped, last (the last dropped line), keep_bitmap of documents that lose lines."""
+    """doc_id, tag (see ``rows``), n_dropped, last (the last dropped line), keep_bitmap of documents that lose lines."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
@@ -117,6 +119,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     lines = scratch.table(own.mapInArrow(_explode(min_chars), _LINES), "lines")
     order = [F.col("h1"), F.col("h2"), F.col("no_id"), F.col("doc_id").desc(), F.col("tag"), F.col("pos")]
     judged = scratch.table(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_judge(min_docs), f"{_LINES}, known boolean, task int"), "judged")
+    scratch.only("judged")
     open_ = judged.where(~F.col("known"))
     per_doc = open_.groupBy("h1", "h2", "no_id", "doc_id").agg(F.lit(1).alias("one"))
     # At most two keys a task, pre-aggregated by document: this table has no more rows than twice the tasks.
@@ -138,7 +141,7 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """doc_id, text (binary), keep_bitmap, last for every row of docs; the last two are null where all lines stay."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     b = bitmaps.select(F.col("doc_id").alias("b_doc"), F.col("tag").alias("b_tag"), "keep_bitmap", "last").hint("shuffle_hash")
-    return own.join(b, F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.crc32("text") == F.col("b_tag")), "left").select("doc_id", "text", "keep_bitmap", "last")
+    return own.join(b, F.col("doc_id").eqNullSafe(F.col("b_doc")) & (tag_of(F.col("text")) == F.col("b_tag")), "left").select("doc_id", "text", "keep_bitmap", "last")
 
 
 _DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
