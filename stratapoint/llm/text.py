@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: A-Z to a-z, every other byte as it is. UTF-8 continuation and lead bytes are above 0x7F, so this is safe on UTF-8.
@@ -15,7 +19,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 class WordHash(dict):
     """word -> 64-bit hash, for a bounded number of words at a time."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -25,6 +29,34 @@ class WordHash(dict):
 
 
 WORD_HASH = WordHash()
+_CACHES: dict[str, Callable[[], None]] = {"words": WORD_HASH.clear}
+_last = [""]
+
+
+def claim(owner: str, cache: Callable[[], None] | None = None) -> None:
+    """Called at the start of a task: a worker that did another operator's work before gives back what it kept for that."""
+    if cache is not None:
+        _CACHES[owner] = cache
+    if _last[0] not in ("", owner):
+        for clear in _CACHES.values():
+            clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim is not None:
+            trim(0)
+    _last[0] = owner
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows in batches of at most about so many bytes of texts (binary column, null as empty), one row at least, and the texts."""
+    for b in batches:
+        texts, a, size = [], 0, 0
+        for i, t in enumerate(b.column(column)):
+            texts.append(t.as_py() or b"")
+            size += len(texts[-1]) + 64
+            if size >= limit or i + 1 == b.num_rows:
+                yield b.slice(a, i + 1 - a), texts
+                texts, a, size = [], i + 1, 0
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -26,7 +26,6 @@ def table(df):
 
 def ids_of(name, texts):
     own = Tokenizer.from_file(public_tokenizers.path(name))
-    own.encode_special_tokens = True
     return [e.ids + [0] for e in own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -65,11 +64,34 @@ def test_without(spark, docs):
     assert len({fx.lower(t) for _, t in left}) == len({fx.lower(t) for _, t in docs}) and Counter(left)[3003, "twice the row"] == 2
 
 
-def test_encoder_is_the_library():
-    odd = ["ΑΣ. Σ İstanbul! 'S it's I'LL <|endoftext|> áb  x   y \n z\t.,! ..., 12ab3 ٣ \x1c q", "", "   ", "a  b", "word.\n\nNext,  two", "don't, 'tis.", "½ x², _a_, 日本 語.", "A, b. C.\nD \n E", "a\0b, c"]
-    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        enc = tokens.encoder(name)
-        assert [np.frombuffer(enc.encode(t) + tokens.END, "<u4").tolist() for t in odd] == ids_of(name, odd)
+ODD = ["ΑΣ. Σ İstanbul! 'S it's I'LL <|endoftext|> áb  x   y \n z\t.,! ..., 12ab3 ٣ \x1c q", "", "   ", "a  b", "word.\n\nNext,  two", "don't, 'tis.", "½ x², _a_, 日本 語.", "A, b. C.\nD \n E", "a\0b, c"]
+ODD += ["one . two", "one , two", "a . ", "Bonjour , monde", "1 . 2", "\u0c87\u0f4d", "\n", " \n", "\n a", "a\n", "a\n\u0301b", " \u0301", "<|startoftext|>a<|endoftext|>", "<|endoftext", "x" * 70_000, "long " * 40_000]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_is_the_library(name):
+    """On awkward strings and on 200,000 random ones: stops among spaces, any Unicode, special tokens."""
+    rng = __import__("random").Random(name)
+    plain = [*"  \n.,", *"abcXY12'!_-", "\t", "  ", "the", "Stone", " . ", " , ", ". ", ", ", ".\n", "'s", "'LL"]
+    marks = [*map(chr, (0, 0x1C, 0x85, 0xA0, 0xAD, 0x130, 0x131, 0x149, 0x300, 0x301, 0x307, 0x345, 0x3A3, 0x3C2, 0xC87, 0xF4D, 0x1E9E, 0x2028, 0x200B, 0x3000, 0x1F600, 0xFB01))]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|", "|>"]
+
+    def text(kind):
+        n = rng.randrange(1, 14)
+        if kind == 0:
+            return "".join(rng.choice(plain) for _ in range(n))
+        if kind == 1:
+            return "".join(rng.choice(plain) if rng.random() < 0.5 else rng.choice(marks) for _ in range(n))
+        if kind == 2:
+            return "".join(rng.choice(plain) if rng.random() < 0.4 else chr(c if not 0xD800 <= (c := rng.randrange(1, 0x11000)) < 0xE000 else 32) for _ in range(n))
+        return "".join(rng.choice(special) if rng.random() < 0.3 else rng.choice(plain) for _ in range(n))
+
+    texts = ODD + [text(i % 4) for i in range(200_000)]
+    enc = tokens.encoder(name)
+    for a in range(0, len(texts), 20_000):
+        part = texts[a : a + 20_000]
+        for t, want in zip(part, ids_of(name, part), strict=True):
+            assert np.frombuffer(enc.encode(t) + tokens.END, "<u4").tolist() == want, t[:100]
 
 
 def test_packing(spark, docs):
@@ -222,7 +244,7 @@ def test_line_dedup(spark):
 
 
 def plain_suffix_dedup(docs, length):
-    order = sorted({(i is not None, i or 0, zlib.crc32((t or "").encode()), (t or "").encode()) for i, t in docs})
+    order = sorted({(i is not None, i or 0, hashlib.md5((t or "").encode()).digest(), (t or "").encode()) for i, t in docs})
     seen, result = set(), {}
     for has, i, _, t in order:
         gone = bytearray(len(t))
@@ -238,12 +260,34 @@ def plain_suffix_dedup(docs, length):
 
 def test_suffix_dedup(spark, docs):
     extra = [(50, "é" * 90 + "tail"), (51, "head" + "é" * 90), (52, "ab" * 200)]
+    rng = __import__("random").Random(5)
+    passage = " ".join(fx.words(rng, 40))
+    extra += [(60 + k, "".join(rng.choice("xy ") for _ in range(rng.randrange(30))) + passage[rng.randrange(60) : 100 + rng.randrange(140)] + "".join(rng.choice("xy ") for _ in range(40))) for k in range(150)]  # one hot anchor
     for length in (40, 100):
         df = fx.frame(spark, docs + extra)
         assert table(suffix_dedup.suffix_dedup_digest(df, length)) == plain_suffix_dedup(docs + extra, length)
     assert suffix_dedup.suffix_dedup_digest(df.where("1 = 0")).count() == 0
 
 
+def test_anchors_see_every_window_once(monkeypatch):
+    """In pieces of any size; equal windows have equal keys."""
+    rng = __import__("random").Random(6)
+    texts = [" ".join(fx.words(rng, rng.randrange(300))).encode() for _ in range(12)] + [b"ab" * 400, b"", b"x" * 99, b"x" * 100]
+    texts += [texts[0] + texts[1], texts[0][7:]]
+    for slice_bytes in (700, 1 << 19):
+        monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", slice_bytes)
+        keys, seen = {}, Counter()
+        for whole, ends, owner, place in suffix_dedup._slices(texts, 100):
+            assert len(whole) <= slice_bytes
+            starts = np.r_[0, ends[:-1]]
+            for key, first, last, _ in zip(*suffix_dedup.anchors(whole, ends, 100), strict=True):
+                k = np.searchsorted(ends, first, side="right")
+                for s in range(first, last + 1):
+                    seen[owner[k], s - starts[k] + place[k]] += 1
+                    assert keys.setdefault(whole[s : s + 100], key) == key
+        assert seen == Counter({(i, s): 1 for i, t in enumerate(texts) for s in range(len(t) - 99)})
+
+
 def test_suffix_arrays():
     from stratapoint.llm.suffix_array import permuted_prefixes, suffix_arrays
 
