@@ -1,66 +1,60 @@
 """Token ids of whole texts by a file of the tokenizers library, at the speed of a dictionary.
 
-Both vocabularies split a text into pieces that do not influence each other. A text is cut at spaces where such a border
-is certain, each piece goes through the library's own normalizer, pre-tokenizer and model once, and its ids are kept in
-a bounded dictionary. ``encode`` gives exactly what ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
+Both vocabularies split a text into pieces that do not influence each other. A text is cut only where such a border is
+certain: before a single space between two other characters, around a line feed between two others, and, where the
+pre-tokenizer drops white space, at every space. Each segment goes through the library's own ``encode`` once, and its ids
+are kept in a bounded dictionary; only words of Latin-1 letters, which are one piece, go straight to the library's model.
+Texts with a special token of the file in them go to ``encode`` whole. So ``encode`` here gives exactly what
+``Tokenizer.encode(text, add_special_tokens=False)`` gives for every string, special tokens' names included.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from array import array
 from functools import cache
 
 import public_tokenizers
 
+from stratapoint.llm.text import claim
+
 #: The end of a document in every operator here.
 END_ID = 0
 END = END_ID.to_bytes(4, "little")
 #: A single space between two other characters always starts a piece of the byte-level pattern.
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-#: Where white space or other marks stand before white space or a stop, a stop is not sure to be a piece of its own.
-_ODD = re.compile(r"\s\s|(?:[^\w\s]|_)[,.]")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+_DOUBLE = re.compile(r"\s\s")
+#: Letters of Latin-1, which are one piece and no normalizer changes but for case, and marks behind them, which are another.
+_WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
+#: The letters that byte-level vocabularies write for the bytes of these letters: printable ones stand for themselves.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = dict(zip([b for b in range(256) if b not in _OWN], map(chr, range(256, 512)), strict=False))
 
 
 class _Pieces(dict):
-    """text piece -> its ids as little-endian unsigned 32-bit integers."""
+    """Segment of a text -> its ids as little-endian unsigned 32-bit integers."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __init__(self, file: str, drops_space: bool):
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(file)
-        own.encode_special_tokens = True
-        self.own, self.normalizer, self.split, self.model = own, own.normalizer, own.pre_tokenizer.pre_tokenize_str, own.model
-        self.lead = "" if drops_space else " "
-        self.letters = _byte_letters()
-        self.stops = {x: self._ids(x) for x in ",."}
+        self.own = Tokenizer.from_file(file)
+        self.model, self.drops_space = self.own.model, drops_space
+        self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self[""] = b""
 
-    def _ids(self, letters: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+    def whole(self, text: str) -> bytes:
+        return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece[1:] if self.lead and piece[:1] == " " else piece
-        if word[-1:] in self.stops and word[:-1].isalpha():
-            return self[piece[:-1]] + self.stops[word[-1]]  # a stop is a piece of its own after letters
-        if word.isalpha():  # one piece for the model
-            if not word.isascii():
-                piece = unicodedata.normalize("NFC", piece) if self.normalizer else piece
-                ids = self._ids(piece.encode().decode("latin-1").translate(self.letters))
-            else:
-                ids = self._ids("\u0120" + word if piece != word else word)
+        if (m := _WORD.fullmatch(piece)) is None:
+            ids = self.whole(piece)
+        elif m[3]:
+            ids = self[m[1] + m[2]] + self[m[3]]
         else:
-            ids = b"".join(self._ids(s) for s, _ in self.split(self.normalizer.normalize_str(piece) if self.normalizer else piece))
+            name = m[2].lower() if self.drops_space else piece
+            ids = array("I", [t.id for t in self.model.tokenize(name.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
         if len(self) >= self.LIMIT:
             self.clear()
             self[""] = b""
@@ -77,21 +71,24 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids, 4 bytes each, without the end id."""
-        plain = not _ODD.search(text)
+        if any(t in text for t in self.pieces.special):
+            return self.pieces.whole(text)
         if self.drops_space:
-            text = text.lower() if "Σ" not in text and "İ" not in text else text.replace("Σ", "σ").replace("İ", "i̇").lower()  # no rule for the end of a word
-            text = text.replace("\n", " ")
-            cut = (text.replace(", ", " , ").replace(". ", " . ") if plain else text).split(" ")
-        elif plain and "\0" not in text:
-            text = text.replace(" ", "\0 ").replace(",\0 ", "\0,\0 ").replace(".\0 ", "\0.\0 ").replace(".\n", "\0.\0\n\0")
-            cut = text.split("\0")
+            cut = text.replace("\n", " ").split(" ")
+        elif "\0" not in text and not _DOUBLE.search(text):
+            cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         else:
             cut = _SAFE.split(text)
         return b"".join(map(self.pieces.__getitem__, cut))
 
 
 @cache
-def encoder(name: str) -> Encoder:
-    """One encoder a worker process; name: a path, or a file name that public_tokenizers knows."""
+def _encoder(name: str) -> Encoder:
     file = name if "/" in name else public_tokenizers.path(name)
     return Encoder(str(file), drops_space="word" in name.rpartition("/")[2])
+
+
+def encoder(name: str) -> Encoder:
+    """One encoder a worker process; name: a path, or a file name that public_tokenizers knows."""
+    claim("tokens", _encoder.cache_clear)
+    return _encoder(name)
