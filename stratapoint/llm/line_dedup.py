@@ -4,9 +4,10 @@ A line's key is the line without ASCII white space at its ends, A-Z lower-cased.
 points that occur in at least ``min_docs`` documents lose all their lines except in the largest doc_id that holds them.
 
 The 128-bit hashes of the keys are range-partitioned and sorted by hash, then document (largest first), then position; so
-a key with a third of all lines is spread over many tasks, and each task streams through runs of one key, deciding at
-once. Only the first and last run of a task can go on in another; their lines wait for exact totals of those keys, at most
-two rows a task, which are broadcast. What is returned is not text but a zlib-compressed bitmap for each document that
+a key with a third of all lines is spread over many tasks, and each task streams through its rows, batch by batch, and
+holds no more than the lines of a key that has had fewer than ``min_docs`` documents so far. Only the first and last key of
+a task can go on in another; lines of these that are not yet known to go wait for exact totals, two rows a task, which are
+broadcast. What is returned is not text but a zlib-compressed bitmap for each document that
 loses lines (bit set: the line stays); ``apply_bitmaps`` joins them with the texts.
 
 Null and empty text are one empty line. A null doc_id counts as one document and as the smallest. Rows that repeat a
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapoint.llm.rows import tag, tag_of
@@ -57,29 +58,96 @@ def _explode(min_chars: int):
     return run
 
 
+_JUDGED = f"{_LINES}, known boolean, task int, docs long, end_no_id boolean, end_id long"
+
+
 def _judge(min_docs: int):
-    """Within a sorted task: lines that go (known true), and all lines of its first and last key (known false)."""
+    """Streams through a sorted task: lines that go (known true), lines of its first or last key that may go (known false),
+    and for each of these two keys one row (known null) with its first and last document and the number of its documents here.
+
+    Held from batch to batch are only lines of a key whose documents are still fewer than min_docs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (rows := [b for b in batches if b.num_rows]):
-            return
-        t = pa.Table.from_batches(rows).combine_chunks()
-        h1, h2, null, doc = t["h1"].to_numpy(), t["h2"].to_numpy(), t["no_id"].to_numpy(), t["doc_id"].fill_null(0).to_numpy()
-        key = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-        first_of_doc = key | np.r_[True, (doc[1:] != doc[:-1]) | (null[1:] != null[:-1])]
-        run_no = np.cumsum(key) - 1
-        docs = np.bincount(run_no, first_of_doc)
-        nth_doc = np.cumsum(first_of_doc)
-        in_first_doc = nth_doc == nth_doc[np.flatnonzero(key)][run_no]
-        edge = (run_no == 0) | (run_no == run_no[-1])
-        gone = ~edge & (docs[run_no] >= min_docs) & ~in_first_doc
-        keep = np.flatnonzero(edge | gone)
-        t = t.take(pa.array(keep)).append_column("known", pa.array(gone[keep])).append_column("task", pa.array(np.full(len(keep), TaskContext.get().partitionId(), np.int32)))
-        yield from t.to_batches()
+        own = _Task(min_docs)
+        for b in batches:
+            if b.num_rows:
+                yield from own.batch(b)
+        yield from own.finish()
 
     return run
 
 
+class _Task:
+    """The key at hand of a sorted task: its first and last document, how many it has so far, and lines not yet judged."""
+
+    names = [x.split()[0] for x in _JUDGED.split(", ")]
+
+    def __init__(self, min_docs: int):
+        self.min_docs, self.task = min_docs, TaskContext.get().partitionId()
+        self.key = self.start = self.end = None
+        self.docs, self.first_key = 0, True
+        self.held: list[pa.RecordBatch] = []
+
+    def lines(self, b: pa.RecordBatch, known: bool) -> pa.RecordBatch:
+        n = b.num_rows
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array([known] * n, pa.bool_()), pa.array([self.task] * n, pa.int32()), *(pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64()))], self.names)
+
+    def about(self) -> pa.RecordBatch:
+        row = (*self.key, *self.start, None, None, None, self.task, self.docs, *self.end)
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.bool_(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], self.names)
+
+    def batch(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        h1, h2, null, doc = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3).fill_null(0).to_numpy()
+        new_key = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+        new_doc = new_key | np.r_[True, (doc[1:] != doc[:-1]) | (null[1:] != null[:-1])]
+        cut = [*np.flatnonzero(new_key).tolist(), len(h1)]
+        of = lambda i: (bool(null[i]), None if null[i] else int(doc[i]))
+
+        def feed(j: int) -> Iterator[pa.RecordBatch]:
+            a, z = cut[j], cut[j + 1]
+            nth = np.cumsum(new_doc[a:z]) + self.docs - (self.end == of(a))
+            self.docs, self.end = int(nth[-1]), of(z - 1)
+            if self.first_key:  # it may go on from the task before
+                yield self.lines(b.slice(a, z - a), False)
+                return
+            self.held.append(b.slice(a, z - a).filter(pa.array(nth > 1)))
+            if self.docs >= self.min_docs:
+                yield from (self.lines(x, True) for x in self.held if x.num_rows)
+                self.held = []
+
+        def begin(j: int) -> Iterator[pa.RecordBatch]:
+            self.key, self.start, self.end, self.docs, self.held = (int(h1[cut[j]]), int(h2[cut[j]])), of(cut[j]), None, 0, []
+            yield from feed(j)
+
+        j, last = 0, len(cut) - 2
+        if self.key == (h1[0], h2[0]):
+            yield from feed(0)
+            j = 1
+        if j <= last and self.key is None:
+            yield from begin(0)
+            j = 1
+        if j <= last and self.first_key:
+            yield self.about()
+            self.first_key = False
+        if j < last:  # keys that begin and end here
+            a, z = cut[j], cut[last]
+            at = np.array(cut[j : last + 1]) - a
+            size, seen = np.diff(at), np.cumsum(new_doc[a:z])
+            before = np.repeat(seen[at[:-1]] - 1, size)
+            gone = np.flatnonzero((np.repeat(seen[at[1:] - 1], size) - before >= self.min_docs) & (seen - before > 1))
+            if len(gone):
+                yield self.lines(b.take(pa.array(gone + a)), True)
+        if j <= last:
+            yield from begin(last)
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        if self.key is not None:
+            yield from (self.lines(x, False) for x in self.held if x.num_rows)
+            yield self.about()
+
+
 _BITMAPS = "doc_id long, tag binary, n_dropped int, last int, keep_bitmap binary"
 
 
@@ -118,13 +186,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     lines = scratch.table(own.mapInArrow(_explode(min_chars), _LINES), "lines")
     order = [F.col("h1"), F.col("h2"), F.col("no_id"), F.col("doc_id").desc(), F.col("tag"), F.col("pos")]
-    judged = scratch.table(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_judge(min_docs), f"{_LINES}, known boolean, task int"), "judged")
+    judged = scratch.table(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_judge(min_docs), _JUDGED), "judged")
     scratch.only("judged")
-    open_ = judged.where(~F.col("known"))
-    per_doc = open_.groupBy("h1", "h2", "no_id", "doc_id").agg(F.lit(1).alias("one"))
-    # At most two keys a task, pre-aggregated by document: this table has no more rows than twice the tasks.
-    edges = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("top")).where(F.col("docs") >= min_docs)
-    late = open_.join(F.broadcast(edges), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("top")))
+    # At most two rows a task. A document that ends one task's lines of a key and begins the next one's is one document.
+    tasks = Window.partitionBy("h1", "h2").orderBy("task")
+    both = F.coalesce((F.lag("end_no_id").over(tasks) == F.col("no_id")) & F.lag("end_id").over(tasks).eqNullSafe(F.col("doc_id")), F.lit(False))
+    edges = judged.where("known is null").select("h1", "h2", "no_id", "doc_id", "task", (F.col("docs") - both.cast("int")).alias("docs"))
+    edges = edges.groupBy("h1", "h2").agg(F.sum("docs").alias("total"), F.min_by(F.struct("no_id", "doc_id"), "task").alias("top")).where(F.col("total") >= min_docs)
+    late = judged.where("not known").join(F.broadcast(edges), ["h1", "h2"]).where(~((F.col("no_id") == F.col("top.no_id")) & F.col("doc_id").eqNullSafe(F.col("top.doc_id"))))
     gone = judged.where("known").select("doc_id", "tag", "pos").unionByName(late.select("doc_id", "tag", "pos"))
     return gone.repartition("doc_id", "tag").sortWithinPartitions("doc_id", "tag", "pos").mapInArrow(_bitmaps, _BITMAPS)
 

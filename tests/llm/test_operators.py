@@ -238,6 +238,14 @@ def test_line_dedup(spark):
         want[i, len(lines), len(lines) - len(stays), hashlib.sha256("\n".join(stays).encode()).hexdigest()] += 1
     df = fx.frame(spark, docs)
     assert table(line_dedup.line_dedup_digest(df)) == want
+    try:  # batches of a row, and one task that sees all or sixteen that see little
+        for batch, parts in ((1, 1), (1, 16), (3, 4)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert table(line_dedup.line_dedup_digest(df)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
     texts = line_dedup.apply_bitmaps(df, line_dedup.line_dedup(df))
     assert Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in texts.collect()) == Counter({(k[0], k[3]): 1 for k in want}) | Counter()
     assert line_dedup.line_dedup_digest(df.where("1 = 0")).count() == 0
