@@ -34,11 +34,11 @@ def main() -> None:
 
     def build() -> None:
         chips = spatial.chip(lineitem(spark, sf_dir), F.col("l_extendedprice"), F.col("l_quantity"), 1000.0, order())
-        write_patches(patching.patchify(chips, s, values(), ["chip"], order()), f"{work}/pa")
+        write_patches(patching.patchify(chips, s, values(), ["cell", "part"], [F.col("nth")]), f"{work}/pa")
 
     pa = F.col("pa")
     table = lambda: read_patches(spark, f"{work}/pa")
-    small = lambda: table().select("chip", pa["bounds"].alias("box"))
+    small = lambda: table().select("cell", "part", pa["bounds"].alias("box"))
     steps = {
         "patch_build": build,
         "scan_count": lambda: table().count(),
@@ -48,7 +48,7 @@ def main() -> None:
         "explode": lambda: run(patching.explode_points(table(), s, "pa")),
         "explode_columns": lambda: run(patching.explode_columns(table(), s, "pa")),
         "intra_filter": lambda: run(table().select(intra.filter_between(pa, s, "y", 10, 30).alias("p")).where("p is not null")),
-        "union": lambda: run(patching.union(table().withColumn("g", F.col("chip.cell") % 50), s, pa, ["g"], [F.col("chip.cell"), F.col("chip.part")])),
+        "union": lambda: run(patching.union(table().withColumn("g", F.col("cell") % 50), s, pa, ["g"], [F.col("cell"), F.col("part")])),
         "overlap_join": lambda: run(spatial.overlap_join(small(), small(), F.col("box"), F.col("box"), 1000.0)),
     }
     took = {}

@@ -217,17 +217,9 @@ def patch_array_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.select("g", F.size("values").cast("long").alias("n_patches"), merged["npoints"].cast("long").alias("npoints"))
 
 
-@query(f"""WITH {_PTS} SELECT l_suppkey, list(x ORDER BY ord)[1:3] AS x, list(y ORDER BY ord)[1:3] AS y FROM pts WHERE ord <= 5 GROUP BY l_suppkey""")
-def make_patch_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = patching.array_agg(_points(spark, sf_dir), points.get_all(F.col("pt"), schema(101)), ["l_suppkey"], order())
-    pa = patches.make_patch(schema(101), F.flatten(F.slice("values", 1, 5)))
-    take = lambda i: F.transform(F.slice(pa["dims"][i], 1, 3), lambda v: v.cast("long"))
-    return first.select("l_suppkey", take(0).alias("x"), take(1).alias("y"))
-
-
 @query(f"WITH {_PTS} SELECT l_suppkey, ord, x, y, z, i FROM pts")
-def make_patch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All points of a supplier's patch made from one array of values; make_patch_array makes it from five points."""
+def make_patch_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points of a supplier's patch made from one array of values."""
     every = patching.array_agg(_points(spark, sf_dir), points.get_all(F.col("pt"), schema(101)), ["l_suppkey"], order())
     return _exploded(every.withColumn("pa", patches.make_patch(schema(101), F.flatten("values"))), F.col("pa"))
 
@@ -249,14 +241,6 @@ def transform_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(build(spark, sf_dir), intra.transform(F.col("pa"), schema(101), schema(106)), 106)
 
 
-@query(f"""WITH {_PTS}, b AS (SELECT l_suppkey, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts WHERE ord <= 3 GROUP BY l_suppkey)
-    SELECT a.l_suppkey AS a, b.l_suppkey AS b FROM b AS a JOIN b ON a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0""")
-def patch_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = build(spark, sf_dir).select("l_suppkey", intra.range_(F.col("pa"), schema(101), 1, 3)["bounds"].alias("box"))
-    pairs = spatial.overlap_join(own, own, F.col("box"), F.col("box"), cell=1000.0)
-    return pairs.select(F.col("left.l_suppkey").alias("a"), F.col("right.l_suppkey").alias("b"))
-
-
 #: Boxes of whole patches that hold every point: suppliers in 100 groups, each cut into cells of 20,000 by 10.
 _COMPACT = f"""{_PTS}, b AS (SELECT l_suppkey % 100 AS g, CAST(floor(l_extendedprice / 20000) AS BIGINT) AS cx, CAST(floor(l_quantity / 10) AS BIGINT) AS cy,
     count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY ALL)"""
@@ -270,25 +254,17 @@ def _compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_COMPACT} SELECT a.g AS a, a.cx AS a_cx, a.cy AS a_cy, a.n AS a_n, b.g AS b, b.cx AS b_cx, b.cy AS b_cy, b.n AS b_n
     FROM b AS a JOIN b ON a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0""")
-def patch_overlap_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of whole compact patches; patch_overlap_join has the boxes of each supplier's first three points."""
+def patch_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of compact patches that hold every point."""
     pa = F.col("pa")
     own = _compact(spark, sf_dir).select("g", "cx", "cy", pa["npoints"].cast("long").alias("n"), pa["bounds"].alias("box"))
     pairs = spatial.overlap_join(own, own, F.col("box"), F.col("box"), cell=1000.0)
     return pairs.select(*[F.col(f"{side}.{c}").alias(n if c == "g" else f"{n}_{c}") for side, n in (("left", "a"), ("right", "b")) for c in ("g", "cx", "cy", "n")])
 
 
-@query(f"""WITH {_PTS}, b AS (SELECT l_suppkey, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts WHERE ord <= 3 GROUP BY l_suppkey)
-    SELECT l_suppkey, x0 <= 4000000 AND x1 >= 1000000 AND y0 <= 2000 AND y1 >= 1000 AS hit FROM b""")
-def patch_intersects_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ring = [(10000.0, 10.0), (10000.0, 20.0), (40000.0, 20.0), (40000.0, 10.0)]
-    small = intra.range_(F.col("pa"), schema(101), 1, 3)
-    return build(spark, sf_dir).select("l_suppkey", geo.patch_intersects_polygon(small, ring).alias("hit"))
-
-
 @query(f"WITH {_COMPACT} SELECT g, cx, cy, n, x0 <= 4000000 AND x1 >= 1000000 AND y0 <= 2000 AND y1 >= 1000 AS hit FROM b")
-def patch_intersects_geometry_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole compact patches; patch_intersects_geometry tests each supplier's first three points."""
+def patch_intersects_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compact patches that hold every point against a polygon."""
     ring = [(10000.0, 10.0), (10000.0, 20.0), (40000.0, 20.0), (40000.0, 10.0)]
     return _compact(spark, sf_dir).select("g", "cx", "cy", F.col("pa")["npoints"].cast("long").alias("n"), geo.patch_intersects_polygon(F.col("pa"), ring).alias("hit"))
 
@@ -507,10 +483,15 @@ def session_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("user_id", "window_start", F.col("pa")["npoints"].cast("long").alias("npoints"), F.col("pa")["stats"]["max"][1].cast("long").alias("max_y"))
 
 
-@query("SELECT count(*) AS npoints, count(DISTINCT l_orderkey) AS orders FROM lineitem")
+@query(f"""WITH c AS (SELECT *, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS cx, CAST(floor(l_quantity / 1000) AS BIGINT) AS cy FROM lineitem),
+    t AS (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY {_ORDER}) - 1 AS k FROM c)
+    SELECT cx, cy, k // 400 AS part, count(*) AS npoints, CAST(min(round(l_extendedprice / 0.01)) AS BIGINT) AS x0, CAST(max(round(l_extendedprice / 0.01)) AS BIGINT) AS x1,
+        CAST(sum(round(l_quantity / 0.01)) AS BIGINT) AS sum_y FROM t GROUP BY ALL""")
 def chipped_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points chipped into neighbourly patches of at most 400, then counted back."""
+    """Points chipped into neighbourly patches of at most 400: where each is, and what it holds."""
     df = spatial.chip(lineitem(spark, sf_dir), F.col("l_extendedprice"), F.col("l_quantity"), 1000.0, order())
-    made = patching.patchify(df, schema(101), values(), ["chip"], order())
-    n = made.agg(F.sum(F.col("pa")["npoints"]).alias("npoints"))
-    return n.crossJoin(lineitem(spark, sf_dir).agg(F.count_distinct("l_orderkey").alias("orders"))).select(F.col("npoints").cast("long").alias("npoints"), "orders")
+    pa, floor = F.col("pa"), lambda c: F.floor(c / 1000).cast("long")
+    made = patching.patchify(df, schema(101), values(), ["cell", "part"], [F.col("nth")])
+    low, high = pa["stats"]["min"], pa["stats"]["max"]
+    total = F.aggregate(pa["dims"][1], F.lit(0.0), lambda a, v: a + v).cast("long")
+    return made.select(floor(low[0] * 0.01).alias("cx"), floor(low[1] * 0.01).alias("cy"), "part", pa["npoints"].cast("long").alias("npoints"), low[0].cast("long").alias("x0"), high[0].cast("long").alias("x1"), total.alias("sum_y"))

@@ -52,18 +52,18 @@ def test_entry(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_overlap_join_is_of_whole_patches(spark, oracle):
     """Each patch meets itself, and these patches hold every point."""
-    rows = points.QUERIES["patch_overlap_join_whole"](spark, SF).where("a = b and a_cx = b_cx and a_cy = b_cy").agg({"a_n": "sum"}).first()
+    rows = points.QUERIES["patch_overlap_join"](spark, SF).where("a = b and a_cx = b_cx and a_cy = b_cy").agg({"a_n": "sum"}).first()
     assert rows[0] == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_intersects_geometry_of_whole_patches(spark, oracle):
     """The patches hold every point, and both answers occur."""
-    rows = points.QUERIES["patch_intersects_geometry_whole"](spark, SF).collect()
+    rows = points.QUERIES["patch_intersects_geometry"](spark, SF).collect()
     assert sum(r.n for r in rows) == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
     assert {r.hit for r in rows} == {True, False}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_make_patch_of_every_point(spark, oracle):
-    assert points.QUERIES["make_patch_whole"](spark, SF).count() == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert points.QUERIES["make_patch_array"](spark, SF).count() == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
