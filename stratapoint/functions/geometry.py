@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as arrow
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,30 +109,51 @@ def _ewkb(kind: int, srid: int, has_z: bool, has_m: bool, srid_flag: bool) -> by
     return struct.pack("<BI", 1, flags) + (struct.pack("<I", srid) if srid_flag else b"")
 
 
-def _packer(head: bytes, n: int):
-    """An Arrow-batched function from array<double> to head and packed doubles."""
+def pack_doubles(head: arrow.Array, values: arrow.Array) -> arrow.Array:
+    """Of each row, the head's bytes and the doubles of its array, little-endian; null where either is null."""
+    ok = pc.and_(head.is_valid(), values.is_valid())
+    values = values.filter(ok)
+    counts = pc.list_value_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+    body = arrow.py_buffer(values.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes())
+    ends = np.cumsum(np.r_[0, counts * 8]).astype(np.int32)
+    packed = pc.binary_join_element_wise(head.filter(ok).cast(arrow.binary()), arrow.BinaryArray.from_buffers(arrow.binary(), len(counts), [None, arrow.py_buffer(ends), body]), b"")
+    at = np.cumsum(ok.to_numpy(zero_copy_only=False)) - 1
+    return packed.take(arrow.array(at, mask=~ok.to_numpy(zero_copy_only=False)))
 
-    @F.pandas_udf("binary")
-    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        form = struct.Struct(f"<{n}d")
-        for s in batches:
-            yield s.map(lambda v: None if v is None else head + form.pack(*v))
 
-    return pack
+@cache
+def _pack():
+    return F.arrow_udf(pack_doubles, "binary")
+
+
+def _packed(head: bytes, values: Column) -> Column:
+    return _pack()(F.when(values.isNotNull(), F.lit(head)), values)
+
+
+def point_head(schema: Schema) -> bytes:
+    """The EWKB of a point up to its coordinates; the SRID if it is not 0."""
+    z, m = schema.role("z") is not None, schema.role("m") is not None
+    return _ewkb(POINT_TYPE, schema.srid, z, m, schema.srid != 0)
+
+
+def envelope_head(schema: Schema) -> bytes:
+    return _ewkb(POLYGON_TYPE, schema.srid, False, False, schema.srid > 0) + struct.pack("<II", 1, 5)
+
+
+def diagonal_head(schema: Schema) -> bytes:
+    z, m = schema.role("z") is not None, schema.role("m") is not None
+    return _ewkb(LINESTRING_TYPE, schema.srid, z, m, schema.srid != 0) + struct.pack("<I", 2)
 
 
 def point_ewkb(pt: Column, schema: Schema) -> Column:
     """EWKB POINT; Z and M by the roles that the schema has, the SRID if it is not 0."""
-    z, m = schema.role("z") is not None, schema.role("m") is not None
-    head = _ewkb(POINT_TYPE, schema.srid, z, m, schema.srid != 0)
-    roles = ["x", "y", *(["z"] if z else []), *(["m"] if m else [])]
-    return _packer(head, len(roles))(F.when(pt.isNotNull(), F.array(*[get_role(pt, schema, r) for r in roles])))
+    roles = [r for r in "xyzm" if r in "xy" or schema.role(r) is not None]
+    return _packed(point_head(schema), F.when(pt.isNotNull(), F.array(*[get_role(pt, schema, r) for r in roles])))
 
 
 def envelope_ewkb(pa: Column, schema: Schema) -> Column:
     """EWKB POLYGON of the box; the SRID only if it is positive."""
-    head = _ewkb(POLYGON_TYPE, schema.srid, False, False, schema.srid > 0) + struct.pack("<II", 1, 5)
-    return _packer(head, 10)(F.flatten(F.transform(envelope(pa), lambda c: F.array(c["x"], c["y"]))))
+    return _packed(envelope_head(schema), F.flatten(F.transform(envelope(pa), lambda c: F.array(c["x"], c["y"]))))
 
 
 def diagonal(pa: Column, schema: Schema) -> Column:
@@ -142,6 +165,4 @@ def diagonal(pa: Column, schema: Schema) -> Column:
 
 def diagonal_ewkb(pa: Column, schema: Schema) -> Column:
     """EWKB LINESTRING of the two corners."""
-    z, m = schema.role("z") is not None, schema.role("m") is not None
-    head = _ewkb(LINESTRING_TYPE, schema.srid, z, m, schema.srid != 0) + struct.pack("<I", 2)
-    return _packer(head, 2 * (2 + z + m))(F.flatten(diagonal(pa, schema)))
+    return _packed(diagonal_head(schema), F.flatten(diagonal(pa, schema)))

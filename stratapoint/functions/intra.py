@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratapoint.errors import PointError
 from stratapoint.functions.patches import PATCH, assemble, from_dims
 from stratapoint.functions.quant import let, quantise, value_of
-from stratapoint.schema import COMPRESSIONS, Schema
+from stratapoint.schema import COMPRESSIONS, Dimension, Schema
 
 _MISSING = 'dimension "{}" does not exist'
 
@@ -108,7 +108,11 @@ def is_sorted_documented(pa: Column, schema: Schema, names: list[str | None], st
     return is_sorted(pa, schema, names, not strict)
 
 
-def set_pcid(pa: Column, old: Schema, new: Schema, default: float = 0.0) -> Column:
+def _default(default: Column | float, d: Dimension) -> Column:
+    return quantise(default if isinstance(default, Column) else F.lit(float(default)), d)
+
+
+def set_pcid(pa: Column, old: Schema, new: Schema, default: Column | float = 0.0) -> Column:
     """The stored numbers under another schema, matched by name; dimensions only the new one has get the default."""
     if old.same_dimensions(new):
         low, high, mean = (pa["stats"][s] for s in ("min", "max", "avg"))
@@ -120,14 +124,14 @@ def set_pcid(pa: Column, old: Schema, new: Schema, default: float = 0.0) -> Colu
     dims, low, high, mean = [], [], [], []
     for d in new.dims:
         j = old.find(d.name) if d.name else None
-        fill = quantise(F.lit(float(default)), d)
+        fill = _default(default, d)
         dims.append(pa["dims"][j] if j is not None else F.array_repeat(fill, pa["npoints"]))
         for out, s in ((low, "min"), (high, "max"), (mean, "avg")):
             out.append(pa["stats"][s][j] if j is not None else fill)
     return F.when(pa.isNotNull(), assemble(new, pa["npoints"], low, high, mean, F.array(*dims)))
 
 
-def transform(pa: Column, old: Schema, new: Schema, default: float = 0.0) -> Column:
+def transform(pa: Column, old: Schema, new: Schema, default: Column | float = 0.0) -> Column:
     """The values under another schema, stored anew; another spatial reference gives null."""
     if old.srid != new.srid:
         import warnings
@@ -138,7 +142,7 @@ def transform(pa: Column, old: Schema, new: Schema, default: float = 0.0) -> Col
     for d in new.dims:
         j = old.find(d.name) if d.name else None
         if j is None:
-            dims.append(F.array_repeat(quantise(F.lit(float(default)), d), pa["npoints"]))
+            dims.append(F.array_repeat(_default(default, d), pa["npoints"]))
         else:
             dims.append(F.transform(pa["dims"][j], lambda v: quantise(value_of(v, old.dims[j]), d)))
     return F.when(pa.isNotNull(), from_dims(new, F.array(*dims)))
