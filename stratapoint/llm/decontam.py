@@ -2,11 +2,12 @@
 
 A text is lower-cased (A-Z) and its words are runs of ASCII letters, digits and non-ASCII characters. Every ``n``
 consecutive words of a benchmark item are a window; an item of fewer words, but not none, is one window. The windows are
-the keys of a hash set (which compares the whole window, so every hit is verified) that is broadcast to all tasks; a task
-scans runs of words that occur in the benchmark at all and looks up their windows. No shuffle.
+the keys of a hash set, sorted hashes with the text beside them, that is broadcast to all tasks; a task scans runs of words
+that occur in the benchmark at all, looks up their windows and verifies each hit word by word. No shuffle.
 
 The benchmark's size is measured before it is broadcast: beyond ``block_bytes`` it is dealt into blocks of about that
-size by a hash of its rows, and the corpus passes through one scan after another in the same stage, each with one block.
+size by a hash of its rows (a single item is not cut), and the corpus passes through one scan after another, each with one
+block. A stage holds at most ``CHAIN`` blocks; then its result is written, and the blocks are given back.
 
 Null text has no words; a null item_id reads as the string ``null``; rows that repeat an item_id are one item with several
 texts. An empty benchmark hits nothing. Repeated documents are judged one by one. Further columns pass through; this
@@ -16,18 +17,21 @@ operator's own are named ``n_words``, ``hit_spans`` (binary, pairs of 32-bit wor
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from stratapoint.llm.text import ALNUM
-from stratapoint.runtime import ship
+from stratapoint.runtime import Scratch, ship
 
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in a block (a worker holds about seven times as much for it), and blocks that one stage holds.
+BLOCK_BYTES, CHAIN = 8 << 20, 3
 ADDED = ("hit_spans", "hit_items", "n_words", "n_hit")
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -38,23 +42,54 @@ def words_of(text: bytes | str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of items."""
+    """The windows of a block of items: sorted hashes, and the normalised text that verifies a hit.
+
+    A window takes about 20 bytes and its text, not a Python object.
+    """
 
     def __init__(self, items: list[tuple[str, bytes | None]], n: int):
-        self.items: dict[bytes, list[str]] = {}
+        self.names = [i for i, _ in items]
         self.words: set[bytes] = set()
-        sizes = set()
-        for item, text in items:
+        parts, hashes, where, owner = [], [], [], []
+        at = 0
+        for k, (_, text) in enumerate(items):
             w = words_of(text)
-            for i in range(max(1, len(w) - n + 1) if w else 0):
-                window = w[i : i + n]
-                sizes.add(len(window))
-                self.words.update(window)
-                owners = self.items.setdefault(b" ".join(window), [])
-                if item not in owners:
-                    owners.append(item)
-        self.sizes = sorted(sizes)
-        self.runs = re.compile(b"\x01{%d,}" % self.sizes[0]) if sizes else None
+            if not w:
+                continue
+            self.words.update(w)
+            starts = np.cumsum([0, *(len(x) + 1 for x in w)])
+            whole = b" ".join(w)
+            for i in range(max(1, len(w) - n + 1)):
+                a, b = int(starts[i]), int(starts[min(i + n, len(w))]) - 1
+                hashes.append(xxhash.xxh3_64_intdigest(whole[a:b]))
+                where.append((at + a, at + b))
+                owner.append(k)
+            parts.append(whole)
+            at += len(whole)
+        self.text = b"".join(parts)
+        h, at, own = np.array(hashes, np.uint64), np.array(where, np.int64).reshape(-1, 2), np.array(owner, np.int64)
+        order = np.lexsort((own, h))
+        h, at, own = h[order], at[order], own[order]
+        keep = np.ones(len(h), bool)
+        for i in np.flatnonzero((h[1:] == h[:-1]) & (own[1:] == own[:-1])).tolist():  # an item that repeats a window
+            keep[i + 1] = self._text(at[i]) != self._text(at[i + 1])
+        self.hashes, self.at, self.owner = h[keep], at[keep], own[keep]
+        self.sizes = sorted({min(n, len(words_of(t))) for _, t in items} - {0})
+        self.runs = re.compile(b"\x01{%d,}" % self.sizes[0]) if self.sizes else None
+
+    def _text(self, at: np.ndarray) -> bytes:
+        return self.text[int(at[0]) : int(at[1])]
+
+    def owners(self, window: bytes) -> list[str]:
+        """The items that hold a window."""
+        h = np.uint64(xxhash.xxh3_64_intdigest(window))
+        lo = int(np.searchsorted(self.hashes, h))
+        out = []
+        while lo < len(self.hashes) and self.hashes[lo] == h:
+            if self._text(self.at[lo]) == window:
+                out.append(self.names[self.owner[lo]])
+            lo += 1
+        return out
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word ranges that windows cover, merged, and the items they are from."""
@@ -69,7 +104,7 @@ class Windows:
                 for n in self.sizes:
                     if i + n > b:
                         break
-                    if (owners := self.items.get(b" ".join(words[i : i + n]))) is not None:
+                    if owners := self.owners(b" ".join(words[i : i + n])):
                         items.update(owners)
                         if spans and i <= spans[-1][1]:
                             spans[-1] = (spans[-1][0], max(spans[-1][1], i + n))
@@ -109,26 +144,39 @@ def _scan(block, text_at: int, names: list[str]):
     return run
 
 
-def _blocks(benchmark: DataFrame, n: int, block_bytes: int) -> list:
+def _blocks(benchmark: DataFrame, n: int, block_bytes: int) -> tuple[int, Callable[[int], Broadcast]]:
+    """How many blocks the benchmark makes, and what broadcasts one of them."""
     own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text"))
     size = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     many = max(1, -(-size // block_bytes))
-    sc = benchmark.sparkSession.sparkContext
-    out = []
-    for k in range(many):
+
+    def block(k: int) -> Broadcast:
         part = own if many == 1 else own.where(F.pmod(F.xxhash64("item", "text"), F.lit(many)) == k)
-        out.append(sc.broadcast(Windows([(r.item, None if r.text is None else bytes(r.text)) for r in part.collect()], n)))
-    return out
+        return benchmark.sparkSession.sparkContext.broadcast(Windows([(r.item, None if r.text is None else bytes(r.text)) for r in part.collect()], n))
+
+    return many, block
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(text, ...) with hit_spans, hit_items, n_words and n_hit (words hit)."""
-    ship(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ADDED]
+    spark = docs.sparkSession
+    ship(spark)
+    own = {x.lower() for x in ADDED}
+    names = [c for c in docs.columns if c.lower() not in own]
+    text_at = [c.lower() for c in names].index("text")
     out = docs.select(*[F.col(f"`{x}`") for x in names], F.lit(None).cast("binary").alias("hit_spans"), F.lit(None).cast("array<string>").alias("hit_items"))
     schema = StructType([*out.schema.fields, StructField("n_words", LongType()), StructField("n_hit", LongType())])
-    for i, block in enumerate(_blocks(benchmark, n, block_bytes)):
-        out = (out if i == 0 else out.drop("n_words", "n_hit")).mapInArrow(_scan(block, names.index("text"), names), schema)
+    many, block = _blocks(benchmark, n, block_bytes)
+    scratch, sent = Scratch(spark), []
+    for k in range(many):
+        sent.append(block(k))
+        out = (out if k == 0 else out.drop("n_words", "n_hit")).mapInArrow(_scan(sent[-1], text_at, names), schema)
+        if len(sent) == CHAIN and k + 1 < many:
+            out = scratch.table(out, f"hits-{k}")
+            scratch.only(f"hits-{k}")
+            for b in sent:
+                b.destroy()
+            sent = []
     return out
 
 
@@ -161,4 +209,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, drop_from:
     found = find_contamination(docs, benchmark, n).where(F.size("hit_items") < drop_from)
     names = [c for c in found.columns if c not in ADDED]
     kept = found.select(*[F.col(f"`{c}`") for c in names], "hit_spans")
-    return kept.mapInArrow(_cut(names.index("text")), kept.drop("hit_spans").schema)
+    return kept.mapInArrow(_cut([c.lower() for c in names].index("text")), kept.drop("hit_spans").schema)

@@ -206,7 +206,7 @@ def test_decontamination(spark, docs):
     long = " ".join(t for _, t in docs[:3] if t)
     bench = [(1, " ".join(long.split()[:12])), (2, "SAME text, again"), (3, None), (4, ""), (None, "one two"), (5, "one two three"), (6, "x" * 5000), (6, "no id at all")]
     b = spark.createDataFrame(bench, "item_id long, text string")
-    for block_bytes in (1 << 20, 40):
+    for block_bytes in (1 << 20, 40):  # one block, and so many that stages are cut
         found = decontam.find_contamination(fx.frame(spark, docs), b, 8, block_bytes)
         assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.hit_items)) for r in found.collect()) == plain_decontamination(docs, bench)
     empty = decontam.find_contamination(fx.frame(spark, docs), b.where("1 = 0"))
