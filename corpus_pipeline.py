@@ -34,16 +34,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text; rows that repeat doc_id and text are ties, of which the least by all columns stays."""
-    scratch = Scratch(spark)
-    names = docs.columns
-    left = rows.without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    scratch, names = Scratch(spark), docs.columns
+    found = scratch.table(exact_dedup.exact_dedup(docs), "found")
+    left = rows.without(docs, found.where("not kept"))
+    tied = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    tied = scratch.table(tied.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__tie")), "tied")
+    if tied.isEmpty():
+        return left
     text = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     left = left.select("*", F.sha2(text, 256).alias("__digest"))
-    ties = left.groupBy("doc_id", "__digest").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("__digest").alias("__tie"))
-    ties = scratch.table(ties, "ties")
+    tied = F.broadcast(tied) if tied.count() <= rows.BROADCAST_ROWS else tied
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__tie"))
-    first = left.join(ties, same).groupBy("doc_id", "__digest").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("first"))
-    return left.join(ties, same, "left_anti").select(*[F.col(f"`{c}`") for c in names]).unionByName(first.select("first.*"))
+    first = left.join(tied, same).groupBy("doc_id", "__digest").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("first"))
+    return left.join(tied, same, "left_anti").select(*[F.col(f"`{c}`") for c in names]).unionByName(first.select("first.*"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,5 +78,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = len(Scratch.made)
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        scratch.only(name)
+        for own in Scratch.made[before:]:  # what the stage's operators wrote for themselves
+            own.drop()
     return docs

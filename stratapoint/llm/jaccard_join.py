@@ -17,8 +17,8 @@ one before; every level is exact, so no link is lost.
 * Level 2. Inside a cell the pivots are documents, the most central first, and distances are computed exactly. Each
   document belongs to the region of its nearest pivot and is replicated to every region whose pivot is at most
   2 * (1 - threshold) farther (triangle inequality); regions join recursively without their pivots until a region lies in
-  one component. Cells that stay large are spread over the cluster: all documents are held against a broadcast block of
-  pivots (its bytes are bounded), round by round, until every document outside the cell's largest component has been a pivot.
+  one component. Cells that stay large do the same over the cluster: all documents of a cell are held against broadcast
+  pivots (their bytes are bounded), and its regions and windows are the cells of the next turn (``_large_cells``).
 
 Equal sets are one node from the start (copies are never paired). Region members travel as packed arrays, and a region
 yields a star of candidate edges, never all pairs. Components are found by ``components``.
@@ -32,7 +32,6 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -45,13 +44,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratapoint.llm.components import components
-from stratapoint.llm.text import LOWER, mix64, ngram_hashes, word_hashes
+from stratapoint.llm.rows import tag
+from stratapoint.llm.text import LOWER, by_bytes, claim, mix64, ngram_hashes, word_hashes
 from stratapoint.runtime import Scratch, ship
 
 #: A cell of at most so many documents and shingles is joined within a task.
 CELL_DOCS, CELL_SHINGLES = 256, 1 << 21
-#: Pivots of a round, of a cell, and the bytes of a broadcast block of pivots.
-PIVOTS, BLOCK_BYTES = 512, 32 << 20
+#: Pivots of a turn, of a cell, how many of them make regions, and the bytes of a broadcast block of pivots.
+PIVOTS, CENTRES, BLOCK_BYTES = 512, 16, 32 << 20
+#: Bytes of texts that are cut into shingles together, and regions that travel together.
+BATCH_BYTES, BATCH_NAMES = 2 << 20, 1 << 19
 #: Documents sampled from a large cell to see which shingles are common in it.
 SAMPLE = 64
 #: Candidate documents up to this number are matched with their texts by a broadcast of their ids, else by a shuffle.
@@ -130,11 +132,11 @@ class Rule:
 
 def _identity(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or b"" for t in b.column(1).to_pylist()]
+        claim("jaccard")
+        for b, texts in by_bytes(batches, 1, BATCH_BYTES):
             sets = [shingles(t, n) for t in texts]
             d = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64())], ["doc_id", "d1", "d2", "n", "tag"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), pa.array([tag(t) for t in texts], pa.binary())], ["doc_id", "d1", "d2", "n", "tag"])
 
     return run
 
@@ -164,36 +166,73 @@ def _unpacked(row: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low | high << np.uint64(32), np.repeat(own, many)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All regions of a task: (member, least member, other members of the region), summed by pair."""
-    names, nodes = [], []
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows sorted by bucket: all region names of a bucket at a time, with their members."""
+    at, names, nodes = None, [], []
     for b in batches:
         for bucket, row in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if bucket != at and names:
+                yield np.concatenate(names), np.concatenate(nodes)
+                names, nodes = [], []
+            at = bucket
             x, own = _unpacked(row.as_buffer().to_pybytes())
             names.append(x | np.uint64(bucket % 65536) << np.uint64(48))
             nodes.append(own)
-    if not names:
-        return
-    name, node = np.concatenate(names), np.concatenate(nodes)
-    del names, nodes
-    order = np.lexsort((node, name))
-    name, node = name[order], node[order]
-    new = np.r_[True, (name[1:] != name[:-1]) | (node[1:] != node[:-1])]  # a node brings a region once
-    name, node = name[new], node[new]
-    first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
-    size = np.diff(np.r_[first, len(name)])
-    lead, others = np.repeat(node[first], size), np.repeat(size - 1, size)
-    shared = others > 0
-    node, lead, others = node[shared], lead[shared], others[shared]
-    order = np.lexsort((lead, node))
-    node, lead, others = node[order], lead[order], others[order]
-    at = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (lead[1:] != lead[:-1])]) if len(node) else np.zeros(0, np.int64)
-    total = np.add.reduceat(others, at) if len(at) else others
-    yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(lead[at]), pa.array(total)], ["a", "b", "w"])
+    if names:
+        yield np.concatenate(names), np.concatenate(nodes)
+
+
+class _Sums:
+    """Counts by one or two keys, added up whenever many have come together."""
+
+    LIMIT = 1 << 20
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        """The last column counts."""
+        self.parts.append(columns)
+        self.held += len(columns[0])
+        if self.held > 2 * self.LIMIT:
+            self.parts = [self.total()]
+            self.held = len(self.parts[0][0])
+
+    def total(self) -> tuple[np.ndarray, ...]:
+        *keys, n = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort(keys[::-1])
+        keys, n = [k[order] for k in keys], n[order]
+        at = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(n) else np.zeros(0, np.int64)
+        return *(k[at] for k in keys), np.add.reduceat(n, at) if len(at) else n
+
+    def batches(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield from pa.table([pa.array(c) for c in self.total()], names).to_batches(100_000)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's regions: (member, least member, other members of the region), summed by pair."""
+    claim("jaccard")
+    sums = _Sums()
+    for name, node in _buckets(batches):
+        order = np.lexsort((node, name))
+        name, node = name[order], node[order]
+        new = np.r_[True, (name[1:] != name[:-1]) | (node[1:] != node[:-1])]  # a node brings a region once
+        name, node = name[new], node[new]
+        first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        size = np.diff(np.r_[first, len(name)])
+        others = np.repeat(size - 1, size)
+        shared = others > 0
+        sums.add(node[shared], np.repeat(node[first], size)[shared], others[shared])
+        if sums.held > _Sums.LIMIT and len(sums.parts) == 1:  # more pairs than a task should hold
+            yield from sums.batches(["a", "b", "w"])
+            sums = _Sums()
+    yield from sums.batches(["a", "b", "w"])
 
 
 def _edges(scratch: Scratch, packed: DataFrame, name: str) -> DataFrame:
-    stars = packed.repartition("bucket").mapInArrow(_stars, "a long, b long, w long")
+    stars = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "a long, b long, w long")
     return scratch.table(stars.groupBy("a", "b").agg(F.sum("w").alias("w")), name)
 
 
@@ -263,21 +302,21 @@ def _small_cells(rule: Rule):
     return run
 
 
-def _blocks(pivots: DataFrame) -> Iterator[tuple[DataFrame | None, int, int, dict]]:
-    """pivots(cell, node, shingles) in broadcast blocks of bounded bytes: (block number, blocks, cell -> nodes and sets)."""
+def _blocks(pivots: DataFrame, by: list[str]) -> Iterator[tuple[int, int, dict]]:
+    """pivots(cell, node, shingles) in blocks of bounded bytes, dealt by these columns: block number, blocks, cell -> nodes and sets."""
     size = pivots.agg(F.coalesce(F.sum(F.length("shingles") + 64), F.lit(0))).first()[0]
     many = max(1, -(-2 * size // BLOCK_BYTES))
     for k in range(many):
         by_cell = defaultdict(list)
-        for r in pivots.where(F.pmod(F.xxhash64("cell"), F.lit(many)) == k).collect():
+        for r in pivots.where(F.pmod(F.xxhash64(*by), F.lit(many)) == k).collect():
             by_cell[r.cell].append((r.node, bytes(r.shingles)))
         yield k, many, dict(by_cell)
 
 
 def _by_block(big: DataFrame, pivots: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """big.mapInArrow(make(a broadcast block)) over all blocks."""
+    """big.mapInArrow(make(a broadcast block)) over all blocks; the pivots of a cell are in one block."""
     out, sc = None, big.sparkSession.sparkContext
-    for k, many, cells in _blocks(pivots):
+    for k, many, cells in _blocks(pivots, ["cell"]):
         own = big.where(F.pmod(F.xxhash64("cell"), F.lit(many)) == k) if many > 1 else big
         part = own.mapInArrow(make(sc.broadcast(cells)), schema)
         out = part if out is None else out.unionByName(part)
@@ -302,25 +341,19 @@ def _names_of(buckets: int):
 
 def _private(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many names of a task belong to one node only, by node."""
-    names, nodes = [], []
-    for b in batches:
-        for bucket, row in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            x, own = _unpacked(row.as_buffer().to_pybytes())
-            names.append(x | np.uint64(bucket % 65536) << np.uint64(48))
-            nodes.append(own)
-    if not names:
-        return
-    name, node = np.concatenate(names), np.concatenate(nodes)
-    order = np.argsort(name)
-    name, node = name[order], node[order]
-    new = np.r_[True, name[1:] != name[:-1], True]
-    alone, many = np.unique(node[new[1:] & new[:-1]], return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(alone), pa.array(many.astype(np.int64))], ["node", "alone"])
+    sums = _Sums()
+    for name, node in _buckets(batches):
+        order = np.argsort(name)
+        name, node = name[order], node[order]
+        new = np.r_[True, name[1:] != name[:-1], True]
+        alone, many = np.unique(node[new[1:] & new[:-1]], return_counts=True)
+        sums.add(alone, many.astype(np.int64))
+    yield from sums.batches(["node", "alone"])
 
 
 def _sharing(scratch: Scratch, big: DataFrame, rule: Rule, buckets: int, name: str) -> DataFrame:
     """Documents of large cells that can link at all: too many shingles of their own rule that out."""
-    alone = big.select("cell", "node", "shingles").mapInArrow(_names_of(buckets), "bucket int, packed binary").repartition("bucket").mapInArrow(_private, "node long, alone long")
+    alone = big.select("cell", "node", "shingles").mapInArrow(_names_of(buckets), "bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_private, "node long, alone long")
     alone = scratch.table(alone.groupBy("node").agg(F.sum("alone").alias("alone")), f"{name}-alone")
     n = F.length("shingles") / 8
     left = big.join(alone, "node", "left").where(rule.den * (n - F.coalesce("alone", F.lit(0))) >= rule.num * n)
@@ -354,38 +387,74 @@ def _by_prefix(rule: Rule, buckets: int):
     return make
 
 
+class Pivots:
+    """The pivots of one large cell, and distances to them; the first CENTRES of a farthest-first order make regions."""
+
+    def __init__(self, rule: Rule, members: list[tuple[int, bytes]]):
+        sets = [np.frombuffer(x, "<u8") for _, x in members]
+        self.rule, self.nodes, self.size = rule, [n for n, _ in members], np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+        self.centres = [0]
+        far = self.distances(sets[0])[1]
+        while len(self.centres) < min(CENTRES, len(sets)) and far.max() > rule.epsilon:
+            self.centres.append(int(far.argmax()))
+            far = np.minimum(far, self.distances(sets[self.centres[-1]])[1])
+
+    def distances(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a set has in common with each pivot, and its distance from it."""
+        lo, hi = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        inter = np.bincount(self.owner[at], minlength=len(self.size))
+        return inter, 1 - inter / (self.size + len(s) - inter)
+
+    def place(self, s: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The pivots that a set links with, and the regions that it is in: its nearest centre's, and by the triangle
+        inequality those of centres at most twice the threshold's distance farther."""
+        inter, d = self.distances(s)
+        near = d[self.centres]
+        return np.flatnonzero(self.rule.links(inter, self.size, len(s))), np.flatnonzero(near <= near.min() + 2 * self.rule.epsilon + 1e-9).tolist()
+
+
+_AGAINST = "cell long, node long, pivot long, region int"
+
+
 def _against(rule: Rule):
-    """Level 2 across tasks: links of each document with the pivots of its cell, as a star around the first."""
+    """Level 2 across tasks: links of each document with the pivots of its cell (a star around the first; region null), and its regions (pivot null)."""
 
     def make(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready: dict[int, tuple] = {}
-            between: set[tuple[int, int]] = set()
+            claim("jaccard")
+            ready: dict[int, Pivots] = {}
+            between: set[tuple[int, int, int]] = set()
+
+            def out(rows: list[tuple]) -> pa.RecordBatch:
+                cols = list(zip(*rows, strict=True)) or [()] * 4
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(cols)], [x.split()[0] for x in _AGAINST.split(", ")])
+
             for b in batches:
-                links = []
+                rows: list[tuple] = []
                 for cell, node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
+                    if cell not in block.value:
+                        continue
                     if cell not in ready:
-                        if len(ready) > 64:
+                        if len(ready) > 16:
                             ready.clear()
-                        sets = [np.frombuffer(x, "<u8") for _, x in block.value.get(cell, ())]
-                        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                        order = np.argsort(flat)
-                        ready[cell] = flat[order], owner[order], np.array([len(x) for x in sets]), [n for n, _ in block.value.get(cell, ())]
-                    flat, owner, size, pivots = ready[cell]
-                    if not len(size):
-                        continue
-                    s = np.frombuffer(s.as_buffer(), "<u8")
-                    lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-                    n = hi - lo
-                    at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    inter = np.bincount(owner[at], minlength=len(size))
-                    hit = np.flatnonzero(rule.links(inter, size, len(s)))
+                        ready[cell] = Pivots(rule, block.value[cell])
+                    own = ready[cell]
+                    hit, regions = own.place(np.frombuffer(s.as_buffer(), "<u8"))
                     if len(hit):
-                        links.append((node, pivots[hit[0]]))
-                        between.update((pivots[h], pivots[hit[0]]) for h in hit[1:])
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in between], pa.int64()), pa.array([x[1] for x in between], pa.int64())], ["a", "b"])
+                        first = own.nodes[hit[0]]
+                        rows.append((cell, node, first, None))
+                        between.update((cell, own.nodes[h], first) for h in hit[1:])
+                    rows += [(cell, node, None, r) for r in regions]
+                yield out(rows)
+                if len(between) > 100_000:
+                    yield out([(*x, None) for x in between])
+                    between.clear()
+            yield out([(*x, None) for x in between])
 
         return run
 
@@ -393,64 +462,128 @@ def _against(rule: Rule):
 
 
 def _top(k: int):
-    """The k largest (pop, node) of each cell within a task."""
+    """The k largest (pop, node) of each cell within a task, and the bytes of the cell's largest set there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        most: dict[int, int] = defaultdict(int)
         for b in batches:
-            for cell, node, pop in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for cell, node, pop, size in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 best[cell].append((pop, node))
+                most[cell] = max(most[cell], size)
                 if len(best[cell]) > 4 * k:
                     best[cell] = sorted(best[cell], reverse=True)[:k]
-        rows = [(cell, *x) for cell, own in best.items() for x in sorted(own, reverse=True)[:k]]
-        cols = list(zip(*rows, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cell", "pop", "node"])
+        rows = [(cell, *x, most[cell]) for cell, own in best.items() for x in sorted(own, reverse=True)[:k]]
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cell", "pop", "node", "most"])
 
     return run
 
 
-def _large_cells(scratch: Scratch, big: DataFrame, rule: Rule) -> DataFrame:
-    """node, root of the documents of cells too large for a task. big: cell, node, pop, shingles."""
-    edges, used, step = None, None, 0
-    active = big.select("cell", "node", "pop")
+def by_size(scratch: Scratch) -> Callable[[DataFrame, str], tuple[DataFrame, DataFrame]]:
+    def split(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Members of cells that a task can join, and of larger ones."""
+        sizes = members.groupBy("cell").agg(F.count("*").alias("docs"), F.sum(F.length("shingles") / 8).alias("all"))
+        large = scratch.table(sizes.where((F.col("docs") > CELL_DOCS) | (F.col("all") > CELL_SHINGLES)).select("cell", "docs"), f"{name}-large")
+        large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large  # one row for each large cell; the sets stay where they are
+        return members.join(large, "cell", "left_anti"), members.join(large, "cell").select("cell", "node", "pop", "shingles", "docs")
+
+    return split
+
+
+def in_tasks(rule: Rule) -> Callable[[DataFrame], DataFrame]:
+    def joined(members: DataFrame) -> DataFrame:
+        """node, root of cells that a task can join."""
+        by_cell = members.select("cell", "node", "pop", "shingles").repartition("cell").sortWithinPartitions("cell")
+        return by_cell.mapInArrow(_small_cells(rule), "node long, root long")
+
+    return joined
+
+
+def _large_cells(scratch: Scratch, big: DataFrame, rule: Rule, split: Callable, joined: Callable) -> DataFrame:
+    """node, root of the documents of cells too large for a task. big: cell, node, pop, shingles.
+
+    Each turn holds a cell's documents against its pivots and cuts the cell into regions with windows, which are cells of
+    the next turn. A pair that is still to be seen has a member outside the cell's largest component that has not been a
+    pivot (an active one); only regions with active documents go on. A cell that regions do not cut (its documents are all
+    within each other's windows) is finished at once: its active documents become pivots, block by block.
+    """
+    edges, step = None, 0
+
+    def add(found: DataFrame) -> DataFrame:
+        return found if edges is None else edges.unionByName(found)
+
     while True:
         step += 1
-        some = active.mapInArrow(_top(PIVOTS), "cell long, pop long, node long").groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(F.struct("pop", "node")), False), 1, PIVOTS).alias("p"))
-        chosen = scratch.table(some.select(F.explode("p.node").alias("node")), f"pivots-{step}")
-        pivots = scratch.table(big.join(chosen, "node").select("cell", "node", "shingles").dropDuplicates(["node"]), f"pivot-sets-{step}")
-        found = scratch.table(_by_block(big, pivots, _against(rule), "a long, b long").distinct(), f"links-{step}")
-        edges = found if edges is None else edges.unionByName(found)
-        used = chosen if used is None else used.unionByName(chosen)
-        roots = scratch.table(components(scratch, edges, f"large-{step}"), f"roots-{step}")
-        labelled = scratch.table(big.select("cell", "node", "pop").join(roots, "node", "left").select("cell", "node", "pop", F.coalesce("root", "node").alias("root")), f"labels-{step}")
-        sizes = labelled.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("top"))
-        # A pair that is still to be seen has a member outside the cell's largest component that has not been a pivot.
-        active = scratch.table(labelled.join(scratch.table(sizes, f"tops-{step}"), "cell").where("root <> top").join(used.select("node"), "node", "left_anti").select("cell", "node", "pop"), f"active-{step}")
+        name = lambda x: f"{x}-{step}"  # noqa: B023, E731
+        top = big.select("cell", "node", "pop", F.length("shingles").alias("most")).mapInArrow(_top(PIVOTS), "cell long, pop long, node long, most long")
+        # So many pivots of a cell that their sets are within a block.
+        many = F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.floor(F.lit(BLOCK_BYTES) / 4 / F.max("most")))).cast("int")
+        some = top.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("pop", "node")), False).alias("p"), many.alias("many"))
+        chosen = scratch.table(some.select("cell", F.explode(F.slice("p", F.lit(1), F.col("many"))).alias("p")).select("cell", F.col("p.node").alias("node")), name("pivots"))
+        pivots = scratch.table(big.join(chosen, ["cell", "node"]).select("cell", "node", "shingles").dropDuplicates(["cell", "node"]), name("pivot-sets"))
+        found = scratch.table(_by_block(big.drop("docs"), pivots, _against(rule), _AGAINST), name("found"))
+        edges = add(found.where("region is null").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+        roots = scratch.table(components(scratch, edges, name("turn")), name("turn-roots"))
+        label = big.select("cell", "node").join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
+        label = scratch.table(label.join(chosen.withColumn("used", F.lit(True)), ["cell", "node"], "left"), name("labels"))
+        tops = label.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("top"))
+        active = scratch.table(label.where("used is null").join(tops, "cell").where("root <> top").select("cell", "node"), name("active"))
         if active.isEmpty():
-            return labelled.select("node", "root")
+            break
+        regions = found.where("region is not null").join(chosen, ["cell", "node"], "left_anti").select("cell", "node", "region")
+        live = regions.join(active, ["cell", "node"]).select("cell", "region").distinct()
+        live = scratch.table(regions.join(live, ["cell", "region"]), name("regions"))
+        whole = big.groupBy("cell").agg(F.count("*").alias("docs"))
+        sizes = live.groupBy("cell", "region").agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+        cut = (F.col("n") <= 1.5 * F.col("docs")) & (F.col("most") <= 0.75 * F.col("docs"))
+        state = scratch.table(sizes.join(whole, "cell").select("cell", cut.alias("cut")), name("state"))
+        tight = active.join(state.where("not cut"), "cell", "left_semi")
+        last = scratch.table(big.join(tight, ["cell", "node"]).select("cell", "node", "shingles"), name("tight"))
+        rest = big.select("cell", "node", "pop", "shingles").join(state.where("not cut"), "cell", "left_semi")
+        for k, _, cells in _blocks(last, ["cell", "node"]):  # one block at a time, whatever their number
+            block = big.sparkSession.sparkContext.broadcast(cells)
+            links = rest.mapInArrow(_against(rule)(block), _AGAINST).where("region is null")
+            edges = edges.unionByName(scratch.table(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), name(f"links-{k}")))
+            block.destroy()
+        inner = live.join(state.where("cut"), "cell", "left_semi")
+        parts = big.select("cell", "node", "pop", "shingles").join(inner, ["cell", "node"])
+        parts = scratch.table(parts.select(F.xxhash64("cell", "region").alias("cell"), "node", "pop", "shingles"), name("parts"))
+        small, big = split(parts, name("parts"))
+        within = scratch.table(joined(small).select(F.col("node").alias("a"), F.col("root").alias("b")), name("within"))
+        edges = edges.unionByName(within)
+        big = scratch.table(big.select("cell", "node", "pop", "shingles"), name("big"))
+        if big.isEmpty():
+            break
+    return components(scratch, edges, "large")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, tag (CRC-32 of the text) of every row of docs(doc_id, text); links: den * intersection >= num * union."""
+    """doc_id, n_shingles, component_id, tag (see ``rows``) of every row of docs(doc_id, text); links: den * intersection >= num * union."""
     spark = docs.sparkSession
     ship(spark)
     scratch, rule = Scratch(spark), Rule(num, den)
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = scratch.table(own.mapInArrow(_identity(words), "doc_id long, d1 long, d2 long, n long, tag long"), "rows")
+    rows = scratch.table(own.mapInArrow(_identity(words), "doc_id long, d1 long, d2 long, n long, tag binary"), "rows")
 
     def level0(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, nodes, seen = [], [], set()
-            for t in b.column(0):
-                s = shingles(t.as_py(), words)
+        claim("jaccard")
+        names, nodes, seen, size = [], [], set(), 0
+        for _, texts in by_bytes(batches, 0, BATCH_BYTES):
+            for t in texts:
+                s = shingles(t, words)
                 node = digest(s)[0]
                 if node not in seen:
                     seen.add(node)
                     names.append(rule.regions(s))
                     nodes.append(np.full(len(names[-1]), node, np.int64))
-            if names:
-                yield _packed(np.concatenate(names), np.concatenate(nodes), buckets)
+                    size += len(names[-1])
+                if size >= BATCH_NAMES:
+                    yield _packed(np.concatenate(names), np.concatenate(nodes), buckets)
+                    names, nodes, seen, size = [], [], set(), 0
+        if names:
+            yield _packed(np.concatenate(names), np.concatenate(nodes), buckets)
 
     edges = _edges(scratch, own.select("text").mapInArrow(level0, "bucket int, packed binary"), "edges")
     cells = _cells(scratch, edges, "cells")
@@ -464,10 +597,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     texts = own.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "d1", "d2", "cell", "pop", "node")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        claim("jaccard")
+        for b, texts in by_bytes(batches, 0, BATCH_BYTES):
             keep, found = [], []
-            for i, (t, d) in enumerate(zip(b.column(0), zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), strict=True)):
-                s = shingles(t.as_py(), words)
+            for i, (t, d) in enumerate(zip(texts, zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), strict=True)):
+                s = shingles(t, words)
                 if digest(s) == d:
                     keep.append(i)
                     found.append(s.tobytes())
@@ -477,16 +611,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     member = "cell long, node long, pop long, shingles binary"
     loaded = scratch.table(texts.mapInArrow(load, member), "loaded")
 
-    def split(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        sizes = members.groupBy("cell").agg(F.count("*").alias("docs"), F.sum(F.length("shingles") / 8).alias("all"))
-        large = scratch.table(sizes.where((F.col("docs") > CELL_DOCS) | (F.col("all") > CELL_SHINGLES)).select("cell", "docs"), f"{name}-large")
-        large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large  # one row for each large cell; the sets stay where they are
-        return members.join(large, "cell", "left_anti"), members.join(large, "cell").select("cell", "node", "pop", "shingles", "docs")
-
-    def joined(members: DataFrame) -> DataFrame:
-        by_cell = members.select("cell", "node", "pop", "shingles").repartition("cell").sortWithinPartitions("cell")
-        return by_cell.mapInArrow(_small_cells(rule), "node long, root long")
-
+    split, joined = by_size(scratch), in_tasks(rule)
     small, big = split(loaded, "first")
     roots = [joined(small)]
     for k in ("a", "b"):  # what leaves in one turn may leave others alone in the next
@@ -501,7 +626,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         small, big = split(members, "second")
         roots.append(joined(small))
         if not big.isEmpty():
-            roots.append(_large_cells(scratch, big.drop("docs"), rule))
+            roots.append(_large_cells(scratch, big.drop("docs"), rule, split, joined))
     labels = roots[0]
     for r in roots[1:]:
         labels = labels.unionByName(r)
@@ -513,4 +638,5 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     linked = scratch.table(ids.join(least, "root").select("d1", "d2", "component_id"), "linked")
     every = classes.join(linked, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = rows.join(scratch.table(every, "components"), ["d1", "d2"], "left")
+    scratch.only("rows", "components")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tag")

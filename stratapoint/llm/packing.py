@@ -193,6 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     sorted_ = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
     ranked = scratch.table(sorted_.mapInArrow(_ranks, f"{_PIECES}, task int, local long"), "ranked")
     # A task holds a range of lengths, so this has at most as many rows as there are tasks and lengths together.
+    scratch.only("ranked")
     runs = ranked.groupBy("length", "task").agg(F.count("*").alias("n")).orderBy("length", "task").collect()
     counts: dict[int, int] = {}
     before: dict[tuple[int, int], int] = {}

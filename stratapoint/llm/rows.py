@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from stratapoint.runtime import Scratch
 
+#: Up to so many rows of ids and tags (about 50 bytes each) are broadcast; more go through a shuffle.
+BROADCAST_ROWS = 500_000
+
 
 def tag(text: bytes | None) -> bytes:
     return hashlib.md5(text or b"", usedforsecurity=False).digest()
@@ -26,5 +29,6 @@ def tag_of(text: Column) -> Column:
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) without the rows that gone(doc_id, tag) names."""
     gone = Scratch(docs.sparkSession).table(gone.select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (tag_of(docs["text"]) == F.col("gone_tag"))
     return docs.join(gone, same, "left_anti")

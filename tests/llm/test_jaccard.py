@@ -27,6 +27,39 @@ def test_large_cells(spark, monkeypatch):
     assert result(jj.jaccard_components(fx.frame(spark, rows), 2, 80, 100)) == fx.jaccard_components(rows, 2, 80, 100)
 
 
+def test_large_cells_by_regions(spark, monkeypatch):
+    """Documents spread in distance, so that regions cut their cell, and tight ones, which no region cuts."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(11)
+    sets = []
+    for cluster in range(3):
+        base = [rng.randrange(2**62) for _ in range(60)]
+        for k in range(40):
+            s = list(base)
+            for _ in range(rng.randrange(0, 10 + 12 * (k % 3))):
+                s[rng.randrange(60)] = rng.randrange(2**62)
+            sets.append((cluster == 2, np.unique(np.array(s, np.uint64))))
+    rule, scratch = jj.Rule(80, 100), Scratch(spark)
+    rows = [(1 + own, i, rng.randrange(5), bytearray(s.tobytes())) for i, (own, s) in enumerate(sets)]
+    big = spark.createDataFrame(rows, "cell long, node long, pop long, shingles binary")
+    for name, value in (("CELL_DOCS", 10), ("PIVOTS", 8), ("BLOCK_BYTES", 20_000)):
+        monkeypatch.setattr(jj, name, value)
+    split, joined = jj.by_size(scratch), jj.in_tasks(rule)
+    got = {r.node: r.root for r in jj._large_cells(scratch, big, rule, split, joined).collect()}
+    want = list(range(len(sets)))
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if rows[i][0] == rows[j][0] and rule.links(np.array(len(np.intersect1d(a, b))), len(a), len(b)) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert [got.get(i, i) for i in range(len(sets))] == want
+    assert 3 < len(set(want)) < len(sets)
+
+
 @pytest.mark.parametrize("one_task", [0, 100])
 def test_components(spark, one_task):
     edges = [(5, 4), (4, 9), (7, 7), (1, 2), (2, 3), (9, 10), (20, 1), (30, 31), (31, 30)]
