@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stratapoint.llm.text import ALNUM
+from stratapoint.llm.text import ALNUM, claim
 from stratapoint.runtime import Scratch, ship
 
 #: Bytes of benchmark text in a block (a worker holds about seven times as much for it), and blocks that one stage holds.
@@ -125,6 +125,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scan(block, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("windows")
         windows: Windows = block.value
         for b in batches:
             count, hit, spans, items = [], [], [], []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratapoint.llm.rows import tag
-from stratapoint.llm.text import LOWER
+from stratapoint.llm.text import LOWER, claim
 from stratapoint.runtime import Scratch, ship
 
 #: Counters of a summary; 1,024 rows of 48 bytes are the most that is ever broadcast.
@@ -29,6 +29,7 @@ COUNTERS = 1024
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("digests")
     for b in batches:
         texts = [t or b"" for t in b.column(1).to_pylist()]
         d = [hashlib.sha256(t.translate(LOWER)).digest() for t in texts]

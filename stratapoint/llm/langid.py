@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratapoint.llm.text import claim
 from stratapoint.runtime import ship
 
 SIZE = 300
@@ -98,6 +99,7 @@ class Profiles:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("languages")
     for b in batches:
         codes, counts = defaultdict(list), defaultdict(list)
         for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -140,10 +142,11 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """docs(text, ...) with lang_pred and score, which replace columns of those names."""
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(profiles)
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
-    at = own.columns.index("text")
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
+    at = [c.lower() for c in own.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("languages")
         for b in batches:
             got = [model.value.predict(t.as_py()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*b.schema.names, *ADDED])

@@ -31,6 +31,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratapoint.llm.rows import tag_of
 from stratapoint.runtime import Scratch
 
 #: Licence notices in their usual words (fixed values).
@@ -192,8 +193,11 @@ def _spdx_name(tag: Column) -> Column:
 def license_scan(files: DataFrame, templates=TEMPLATES, least: float = 0.8, file_least: float = 0.6) -> DataFrame:
     """files(path, text, ...) with own_license, own_score, license and inherited_from."""
     scratch, v = Scratch(files.sparkSession), Vectors(templates)
-    names = [c for c in files.columns if c not in ADDED]
-    base = files.select(*[F.col(f"`{c}`") for c in names]).withColumn("__text", F.xxhash64("text"))
+    own = {x.lower() for x in ADDED}
+    names = [c for c in files.columns if c.lower() not in own]
+    # The caller's columns stay in one struct, so that none of them meets a name of this function.
+    rows = files.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    base = rows.select("__row", F.col("__row.path").alias("path"), F.col("__row.text").alias("text")).withColumn("__text", tag_of(F.col("text")))
     key = ["path", "__text"]
     license_of = lambda i: F.element_at(F.array(*[F.lit(name) for name, _ in templates]), i + 1)
     anchors = {t for found in v.notice_anchors(least) for t in found}
@@ -224,4 +228,4 @@ def license_scan(files: DataFrame, templates=TEMPLATES, least: float = 0.8, file
     notices = notices.withColumnsRenamed({"path": "__path", "__text": "__hash"})
     out = base.join(notices, F.col("path").eqNullSafe(F.col("__path")) & (F.col("__text") == F.col("__hash")), "left").join(near, _directory(F.col("path")) == F.col("__dir"), "left")
     inherited = F.col("own_license").isNull()
-    return out.select(*[F.col(f"`{c}`") for c in names], "own_license", "own_score", F.coalesce("own_license", "__license").alias("license"), F.when(inherited, F.col("__from")).alias("inherited_from"))
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in names], "own_license", "own_score", F.coalesce("own_license", "__license").alias("license"), F.when(inherited, F.col("__from")).alias("inherited_from"))

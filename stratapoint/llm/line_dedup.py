@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapoint.llm.rows import tag, tag_of
-from stratapoint.llm.text import LOWER, SPACE
+from stratapoint.llm.text import LOWER, SPACE, claim
 from stratapoint.runtime import Scratch, ship
 
 _LINES = "h1 long, h2 long, no_id boolean, doc_id long, tag binary, pos int"
@@ -38,6 +38,7 @@ _NAMES = [x.split()[0] for x in _LINES.split(", ")]
 
 def _explode(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
         for b in batches:
             hashes, ids, tags, pos = [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratapoint.llm.text import ngram_hashes, word_hashes
+from stratapoint.llm.text import claim, ngram_hashes, word_hashes
 from stratapoint.runtime import Scratch, ship
 
 BUCKETS = 1 << 16
@@ -45,7 +45,7 @@ _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
 class _Shape(dict):
     """token -> the hash of its shape: case, digits or the characters themselves."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -75,6 +75,7 @@ def buckets_of(text: bytes | None, buckets: int) -> np.ndarray:
 
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", _SHAPE.clear)
         sums = np.zeros((2, buckets), np.int64)
         for b in batches:
             for text, target in zip(b.column(0), b.column(1).to_pylist(), strict=True):
@@ -130,6 +131,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     model = spark.sparkContext.broadcast(Ratio(raw, good_n))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", _SHAPE.clear)
         ratio = model.value
         for b in batches:
             ids = b.column(0).to_pylist()

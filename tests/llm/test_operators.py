@@ -352,6 +352,129 @@ def test_quality(spark):
     assert quality.importance_resample(df.where("1 = 0"), labels).count() == 0
 
 
+def plain_language(learned, texts, size):
+    """(prediction, score) of each text, from the definition."""
+
+    def grams(text):
+        s = "".join((low if len(low := c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+        s = re.sub(" +", " ", f" {s} ")
+        out = Counter(x for x in s if x != " ")
+        out.update(s[i : i + 2] for i in range(len(s) - 1))
+        out.update(s[i : i + 3] for i in range(len(s) - 2) if s[i + 1] != " ")
+        return out if len(s) > 1 else Counter()
+
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    rank = lambda counts: sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+    by_lang = defaultdict(Counter)
+    for text, lang in learned:
+        by_lang[lang].update(grams(text))
+    profiles = {lang: {g: i for i, g in enumerate(rank(c))} for lang, c in by_lang.items()}
+    out = []
+    for text in texts:
+        own = rank(grams(text))
+        sums = {lang: sum(abs(p[g] - i) if g in p else size for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(sums), key=sums.get) if own and sums else None
+        out.append(("und", 0.0) if best is None else (best, 1 - sums[best] / (size * len(own))))
+    return out
+
+
+def test_language_id_is_its_definition(spark, docs):
+    rng = __import__("random").Random(9)
+    made = [(i, t, ["aa", "bb", None][(i or 0) % 3]) for i, t in docs] + [(5000 + k, "".join(rng.choice("aébçß ñÅ.İǅ日") for _ in range(rng.randrange(90))), rng.choice(["aa", "bb", "cc"])) for k in range(60)]
+    made += [(6000, "długi " * 30_000, "cc")]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    for size in (12, 300):
+        learned = [(t, lang) for i, t, lang in made if lang and zlib.crc32(str("" if i is None else i).encode()) % 4 != 2]
+        want = plain_language(learned, [t for _, t, _ in made], size)
+        got = langid.identify(df, size).collect()
+        assert Counter((r.doc_id, r.text, r.lang_pred, round(r.score, 9)) for r in got) == Counter((i, t, lang, round(score, 9)) for (i, t, _), (lang, score) in zip(made, want, strict=True))
+
+
+def test_quality_is_its_definition(spark, docs):
+    """Weights, keys and the choice, from counts of every n-gram by bucket."""
+    import math
+
+    import xxhash
+
+    buckets, seed = 512, 3
+    labels = [(i, int(i % 3 == 0)) for i, _ in docs if i is not None and i % 2 == 0] + [(10, None), (77777, 1)]
+    good = {i for i, q in labels if q == 1}
+    grams = [Counter(quality.buckets_of((t or "").encode(), buckets).tolist()) for _, t in docs]
+    raw, target = Counter(), Counter()
+    for (i, _), g in zip(docs, grams, strict=True):
+        raw.update(g)
+        if i in good:
+            target.update(g)
+    want = []
+    for (i, _), g in zip(docs, grams, strict=True):
+        own = i in good
+        n = sum(g.values())
+        scale = (sum(target.values()) - n * own) / (sum(raw.values()) - n)
+        w = sum(c * math.log((target[b] - c * own + 10) / ((raw[b] - c) * scale + 10)) for b, c in g.items())
+        u = (xxhash.xxh3_64_intdigest(str(i).encode(), seed) + 0.5) / 2**64
+        want.append((i, w, w - math.log(-math.log(u))))
+    got = quality.importance_resample(fx.frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int"), share=0.4, seed=seed, buckets=buckets).collect()
+    near = lambda rows: sorted((str(i), round(w, 6), round(k, 6)) for i, w, k in rows)
+    assert near((r.doc_id, r.log_weight, r.sample_key) for r in got) == near(want)
+    k = round(0.4 * len(docs))
+    chosen = sorted(want, key=lambda x: (-x[2], x[0] is None, x[0] or 0))[:k]
+    assert sum(r.kept for r in got) == k and sorted(round(r.sample_key, 6) for r in got if r.kept) == sorted(round(x[2], 6) for x in chosen)
+
+
+def test_language_id_refuses_what_is_no_language(spark):
+    """The pipeline's threshold lies between random letters or other scripts and real texts."""
+    import corpus_pipeline
+
+    rng = __import__("random").Random(4)
+    lexicon = "the of and house water green stone night with from have this that which".split()
+    real = [(i, " ".join(rng.choice(lexicon) for _ in range(rng.randrange(1, 60))), "en") for i in range(200)]
+    noise = [(1000 + i, "".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(rng.randrange(60, 400))), None) for i in range(40)] + [(2000, "привет мир как дела", None), (2001, "123 456", None), (2002, None, None)]
+    df = spark.createDataFrame(real + noise, "doc_id long, text string, lang string")
+    left = {r.doc_id for r in corpus_pipeline.language_id(spark, df, "").collect()}
+    assert left == {i for i, _, _ in real}
+
+
+def plain_notice(words, templates, v, least):
+    """(is a grant, score, start, template) of the best span of words, from all spans."""
+    best = None
+    for k, ((name, text), weights, norm) in enumerate(zip(templates, v.weights, v.norms, strict=True)):
+        most, must = int(len(licenses.terms(text)) / least**2) + 1, licenses.NAMES & weights.keys()
+        for a in range(len(words)):
+            for b in range(a + 1, min(len(words), a + most) + 1):
+                unit = Counter(words[a:b])
+                if words[a] not in weights or words[b - 1] not in weights or not must <= unit.keys():
+                    continue
+                own = {t: n * v.idf.get(t, v.unknown) for t, n in unit.items()}
+                score = round(sum(w * weights.get(t, 0) for t, w in own.items()) / (np.sqrt(sum(w * w for w in own.values())) * norm), 6)
+                if score >= least:
+                    best = max(filter(None, [best, (name != "Proprietary", score, -a, -k)]))
+    return best
+
+
+def test_notices_are_the_best_cosine(spark):
+    rng = __import__("random").Random(8)
+    v, texts = licenses.Vectors(), []
+    for k in range(60):
+        name, text = licenses.TEMPLATES[k % len(licenses.TEMPLATES)]
+        w = licenses.terms(text)
+        for _ in range(rng.randrange(4)):
+            w.insert(rng.randrange(len(w)), rng.choice(["stone", "the", "license", "water"]))
+        if rng.random() < 0.4:
+            del w[rng.randrange(len(w))]
+        noise = lambda: [rng.choice(["stone", "river", "the", "of", "2020", "copyright"]) for _ in range(rng.randrange(8))]
+        texts.append(" ".join([*noise(), *w, *noise()]))
+    df = spark.createDataFrame([(f"d{i}/f.c", t, "mine", b"x") for i, t in enumerate(texts)], "path string, text string, __text string, __row binary")
+    got = licenses.license_scan(df).collect()
+    found = 0
+    for r in got:
+        assert (r["__text"], bytes(r["__row"])) == ("mine", b"x")  # a caller's columns stay what they are
+        best = plain_notice(licenses.terms(r.text), licenses.TEMPLATES, v, 0.8)
+        found += best is not None
+        assert r.own_license == (licenses.TEMPLATES[-best[3]][0] if best else None), r.text
+        assert best is None or abs(r.own_score - best[1]) < 2e-6
+    assert 30 < found
+
+
 def test_licenses(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     files = [("a/LICENSE", mit), ("a/x.py", "print(1)"), ("a/b/y.py", "text\nLicensed under CC BY-NC 4.0.\nmore text here"), ("a/b/z.py", None), ("c/w.py", "und mit der die"), ("top.py", ""), (None, mit), ("a/b/c/LICENSE", gpl), ("a/b/c/d/e.py", "x"), ("a/x.py", "print(1)"), ("d/f.py", "Released under no License of the kind, and so on, for any use whatsoever")]
