@@ -60,7 +60,7 @@ FUNCTIONS = {
     "PC_Transform": intra.transform,
     "PC_Compress": intra.compress,
     "PC_Uncompress": intra.uncompress,
-    "PC_Intersects": geometry.patches_intersect,
+    "PC_Intersects": geometry.intersects,
     "PC_IntersectsGeometry": geometry.patch_intersects_polygon,
     "PC_Intersection": geometry.intersection,
     "PC_EnvelopeAsBinary": geometry.envelope_ewkb,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from functools import cache
 
@@ -15,15 +16,13 @@ from stratapoint.errors import PointError
 from stratapoint.functions.intra import filter_points
 from stratapoint.functions.points import get_role
 from stratapoint.functions.quant import let, value_of
+from stratapoint.functions.shapes import Ring, Shape, shape
 from stratapoint.schema import Schema
 
 #: EWKB flags and geometry types (fixed values).
 SRID_FLAG, M_FLAG, Z_FLAG = 0x20000000, 0x40000000, 0x80000000
 POINT_TYPE, LINESTRING_TYPE, POLYGON_TYPE = 1, 2, 3
 
-Ring = list[tuple[float, float]]
-
-
 def box_intersects(a: Column, b: Column) -> Column:
     """Whether two bounds meet; touching counts."""
     return (a["xmin"] <= b["xmax"]) & (a["xmax"] >= b["xmin"]) & (a["ymin"] <= b["ymax"]) & (a["ymax"] >= b["ymin"])
@@ -63,38 +62,74 @@ def point_in_polygon(x: Column, y: Column, ring: Ring, holes: list[Ring] = ()) -
     return out
 
 
-def polygon_box(ring: Ring) -> tuple[float, float, float, float]:
-    xs, ys = zip(*ring, strict=True)
-    return min(xs), max(xs), min(ys), max(ys)
+def polygon_box(ring: Shape | str | bytes | Ring) -> tuple[float, float, float, float]:
+    """xmin, xmax, ymin, ymax of a geometry; of an empty one, a box that nothing meets."""
+    return shape(ring).box() or (math.inf, -math.inf, math.inf, -math.inf)
 
 
-def _near(bounds: Column, ring: Ring) -> Column:
-    xmin, xmax, ymin, ymax = polygon_box(ring)
+def _near(bounds: Column, geom: Shape) -> Column:
+    xmin, xmax, ymin, ymax = polygon_box(geom)
     return (bounds["xmin"] <= xmax) & (bounds["xmax"] >= xmin) & (bounds["ymin"] <= ymax) & (bounds["ymax"] >= ymin)
 
 
-def patch_intersects_polygon(pa: Column, ring: Ring) -> Column:
-    """Whether a patch's box meets a polygon: a box test that scans can push down, then corners and edges."""
+def _cross(x: Column, y: Column, a: tuple[float, float], b: tuple[float, float]) -> Column:
+    return (x - a[0]) * (b[1] - a[1]) - (y - a[1]) * (b[0] - a[0])
+
+
+def _over(b: Column, p: tuple[float, float], q: tuple[float, float]) -> Column:
+    """A segment meets a box if it spans it on both axes and the corners are not all on one side of its line."""
+    side = [F.signum(_cross(b[x], b[y], p, q)) for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
+    spans = (b["xmin"] <= max(p[0], q[0])) & (b["xmax"] >= min(p[0], q[0])) & (b["ymin"] <= max(p[1], q[1])) & (b["ymax"] >= min(p[1], q[1]))
+    return spans & (F.least(*side) <= 0) & (F.greatest(*side) >= 0)
+
+
+def patch_intersects_polygon(pa: Column, geom: Shape | str | bytes | Ring) -> Column:
+    """Whether a patch's box meets a geometry: a box test that scans can push down, then borders, points and what lies inside.
+
+    If no border meets a box, the box is inside a polygon as a whole or not at all; one corner tells, holes included.
+    """
+    own = shape(geom)
 
     def meets(b: Column) -> Column:
         hit = F.lit(False)
-        for x in ("xmin", "xmax"):
-            for y in ("ymin", "ymax"):
-                hit = hit | point_in_polygon(b[x], b[y], ring)
-        for x1, y1, x2, y2 in _edges(ring):
-            # An edge meets the box if it spans it on both axes and the corners are not all on one side of its line.
-            side = [F.signum((b[x] - x1) * (y2 - y1) - (b[y] - y1) * (x2 - x1)) for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
-            over = (b["xmin"] <= max(x1, x2)) & (b["xmax"] >= min(x1, x2)) & (b["ymin"] <= max(y1, y2)) & (b["ymax"] >= min(y1, y2))
-            hit = hit | (over & (F.least(*side) <= 0) & (F.greatest(*side) >= 0))
+        for x, y in own.points:
+            hit = hit | ((b["xmin"] <= x) & (b["xmax"] >= x) & (b["ymin"] <= y) & (b["ymax"] >= y))
+        for p, q in own.segments():
+            hit = hit | _over(b, p, q)
+        for ring, holes in own.polygons:
+            hit = hit | point_in_polygon(b["xmin"], b["ymin"], ring, holes)
         return hit
 
-    return _near(pa["bounds"], ring) & let(pa["bounds"], meets)
+    return _near(pa["bounds"], own) & let(pa["bounds"], meets)
+
+
+def intersects(a: Column | Shape | str | bytes | Ring, b: Column | Shape | str | bytes | Ring) -> Column:
+    """Whether two patches, or a patch and a geometry in either order, meet."""
+    if isinstance(a, Column) and isinstance(b, Column):
+        return patches_intersect(a, b)
+    return patch_intersects_polygon(a, b) if isinstance(a, Column) else patch_intersects_polygon(b, a)
+
+
+def point_meets(x: Column, y: Column, geom: Shape | str | bytes | Ring) -> Column:
+    """Whether a point lies on or inside a geometry."""
+    own, hit = shape(geom), F.lit(False)
+    for px, py in own.points:
+        hit = hit | ((x == px) & (y == py))
+    for line in own.lines:
+        for p, q in zip(line, line[1:], strict=False):
+            hit = hit | ((_cross(x, y, p, q) == 0) & (x >= min(p[0], q[0])) & (x <= max(p[0], q[0])) & (y >= min(p[1], q[1])) & (y <= max(p[1], q[1])))
+    for ring, holes in own.polygons:
+        hit = hit | point_in_polygon(x, y, ring, holes)
+    return hit
 
 
-def intersection(pa: Column, schema: Schema, ring: Ring, holes: list[Ring] = ()) -> Column:
-    """The points of a patch inside a polygon (its border included); null if there are none."""
+def intersection(pa: Column, schema: Schema, geom: Shape | str | bytes | Ring, holes: list[Ring] = ()) -> Column:
+    """The points of a patch on or inside a geometry; null if there are none. holes: of a geometry that is one ring."""
+    own = shape(geom)
+    if holes:
+        own = Shape(polygons=[(own.polygons[0][0], list(holes))])
     x, y = schema.dims[schema.role("x")].name, schema.dims[schema.role("y")].name
-    return F.when(_near(pa["bounds"], ring), filter_points(pa, schema, lambda value: point_in_polygon(value(x), value(y), ring, holes)))
+    return F.when(_near(pa["bounds"], own), filter_points(pa, schema, lambda value: point_meets(value(x), value(y), own)))
 
 
 def envelope(pa: Column) -> Column:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratapoint.api import register_sql
 from stratapoint.functions import geometry as geo
 from stratapoint.functions import intra, patches, points, wkb
 from stratapoint.operators import patching, spatial
 from stratapoint.plans.formats import epoch_seconds, lineitem, order, registry, schema, values
 from stratapoint.plans.formats import patches as build
-from stratapoint.runtime import ship
-from stratapoint.sources.tables import columns_view
+from stratapoint.schema import Registry, schema_is_valid
+from stratapoint.runtime import Scratch, ship
+from stratapoint.sources.tables import columns_view, read_patches, typmod_pcid, write_patches
 from stratapoint.streaming.windows import sessions, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,7 +368,8 @@ def columns_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def formats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry as a table; dimensions are counted in the documents by XPath."""
     dims = F.size(F.xpath("schema", F.lit("//*[local-name()='dimension']/*[local-name()='name']/text()")))
-    return registry().table(spark).select("pcid", "srid", dims.alias("ndims"), F.lit(True).alias("valid"))
+    valid = F.udf(schema_is_valid, "boolean")  # of at most 65,535 documents
+    return registry().table(spark).select("pcid", "srid", dims.alias("ndims"), valid("schema").alias("valid"))
 
 
 # Relational operators around the types: what the host of these functions offers, over points and patches.
@@ -495,3 +499,146 @@ def chipped_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = pa["stats"]["min"], pa["stats"]["max"]
     total = F.aggregate(pa["dims"][1], F.lit(0.0), lambda a, v: a + v).cast("long")
     return made.select(floor(low[0] * 0.01).alias("cx"), floor(low[1] * 0.01).alias("cy"), "part", pa["npoints"].cast("long").alias("npoints"), low[0].cast("long").alias("x0"), high[0].cast("long").alias("x1"), total.alias("sum_y"))
+
+
+# Functions by their SQL names, and what else the host of these functions offers.
+
+
+def _sql(spark: SparkSession, sf_dir: str, text: str, **views: DataFrame) -> DataFrame:
+    """A query over temporary views, with the SQL functions of the registry at hand."""
+    register_sql(spark, registry(), [101])
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+@query(f"""WITH {_PTS}, f AS (SELECT l_suppkey, x, y, z, i, row_number() OVER (PARTITION BY l_suppkey ORDER BY ord) AS k, count(*) OVER (PARTITION BY l_suppkey) AS m FROM pts WHERE y * 0.01 > 10 AND y * 0.01 < 30)
+    SELECT l_suppkey, k, x * 0.01 AS x, z, i FROM f""")
+def sql_filter_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = """SELECT l_suppkey, CAST(e.ordinal AS BIGINT) AS k, PC_Get(e.pt, 'x') AS x, CAST(e.pt.raw[2] AS BIGINT) AS z, CAST(e.pt.raw[3] AS BIGINT) AS i
+        FROM (SELECT l_suppkey, PC_FilterBetween(pa, 'y', 30, 10) AS pa FROM patches) AS f, LATERAL PC_Explode(f.pa) AS e"""
+    return _sql(spark, sf_dir, text, patches=build(spark, sf_dir))
+
+
+_MODE = "count(*) FILTER (WHERE {}) AS {}"
+
+
+@query(f"""WITH {_PTS} SELECT l_suppkey, {", ".join(_MODE.format(c, n) for c, n in (("y < 2000", "less"), ("y > 2000", "more"), ("y = 2000", "same"), ("y > 1000 AND y < 3000", "between"), ("z < 0", "default")))} FROM pts GROUP BY l_suppkey""")
+def sql_filter_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four modes, and the default value of 0."""
+    n = "CAST(coalesce(PC_NumPoints(PC_Filter{}), 0) AS BIGINT) AS {}"
+    calls = ((("LessThan(pa, 'y', 20)"), "less"), ("GreaterThan(pa, 'Y', 20)", "more"), ("Equals(pa, 'y', 20)", "same"), ("Between(pa, 'y', 10, 30)", "between"), ("LessThan(pa, 'z')", "default"))
+    return _sql(spark, sf_dir, f"SELECT l_suppkey, {', '.join(n.format(f, c) for f, c in calls)} FROM patches", patches=build(spark, sf_dir))
+
+
+@query(f"""WITH {_PTS}, s AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY y, z, ord) AS k FROM pts)
+    SELECT l_suppkey, any_value(n) AS npoints, max(CASE WHEN k = 2 THEN x END) AS second_x, max(CASE WHEN k = n THEN x END) AS last_x, true AS sorted, 101 AS pcid FROM s GROUP BY l_suppkey""")
+def sql_sort_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = """WITH s AS (SELECT l_suppkey, PC_Sort(pa, array('y', 'z')) AS pa FROM patches)
+        SELECT l_suppkey, CAST(PC_NumPoints(pa) AS BIGINT) AS npoints, CAST(PC_PointN(PC_Range(pa, 2, 1), 1).raw[0] AS BIGINT) AS second_x, CAST(PC_PointN(pa, -1).raw[0] AS BIGINT) AS last_x,
+            PC_IsSorted(pa, array('y', 'z'), true) AS sorted, PC_PCId(pa) AS pcid FROM s"""
+    return _sql(spark, sf_dir, text, patches=build(spark, sf_dir))
+
+
+@query(f"""WITH {_PTS} SELECT l_suppkey % 50 AS g, count(*) AS npoints, min(x) * 0.01 AS x_min, max(y) * 0.01 AS y_max, round(sum(i)::DOUBLE / count(*)) AS i_avg, 2 * count(*) AS twice FROM pts GROUP BY 1""")
+def sql_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points to patches and patches to one, by the aggregates' SQL names over what a group collects."""
+    text = """WITH p AS (SELECT l_suppkey, PC_Patch(collect_list(PC_MakePoint(101, array(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_linenumber AS DOUBLE))))) AS pa FROM lineitem GROUP BY l_suppkey),
+        u AS (SELECT l_suppkey % 50 AS g, PC_Union(collect_list(pa)) AS pa FROM p GROUP BY l_suppkey % 50)
+        SELECT CAST(g AS BIGINT) AS g, CAST(PC_NumPoints(pa) AS BIGINT) AS npoints, PC_PatchMin(pa, 'X') AS x_min, PC_PatchMax(pa, 'y') AS y_max, PC_PatchAvg(pa, 'Intensity') AS i_avg, CAST(PC_NumPoints(PC_Union(array(pa, pa))) AS BIGINT) AS twice FROM u"""
+    return _sql(spark, sf_dir, text, lineitem=lineitem(spark, sf_dir))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, 101 AS pcid, 25 AS bytes, '{{\"pcid\":101,\"pt\":[' || printf('%g', round(l_extendedprice / 0.01) * 0.01::DOUBLE) || ',' || printf('%g', round(l_quantity / 0.01) * 0.01::DOUBLE) || ',' || printf('%g', round(l_discount / 0.01) * 0.01::DOUBLE) || ',' || printf('%g', l_linenumber::DOUBLE) || ']}}' AS text FROM lineitem")
+def sql_point_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _points(spark, sf_dir).select("l_orderkey", "l_linenumber", "pt")
+    return _sql(spark, sf_dir, "SELECT l_orderkey, l_linenumber, PC_PointPCId(pt) AS pcid, PC_PointMemSize(pt) AS bytes, PC_PointAsText(pt) AS text FROM points", points=rows)
+
+
+@query(f"""WITH {_PTS} SELECT l_suppkey, {", ".join(f"{f}({c}) * {s} AS {f}_{c}" for c, s in (("x", 0.01), ("y", 0.01), ("z", 0.01), ("i", "1.0")) for f in ("min", "max"))}, round(sum(y)::DOUBLE / count(*)) * 0.01 AS avg_y FROM pts GROUP BY l_suppkey""")
+def patch_stat_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimum, maximum and average of one dimension as a value, by number of the statistic."""
+    s, pa = schema(101), F.col("pa")
+    cols = [patches.patch_stat(pa, s, k, d).alias(f"{n}_{d[0].lower()}") for d in ("X", "Y", "Z", "Intensity") for k, n in ((0, "min"), (1, "max"))]
+    return build(spark, sf_dir).select("l_suppkey", *cols, patches.patch_avg(pa, s, "y").alias("avg_y"))
+
+
+@query(f"""WITH {_COMPACT} SELECT g, cx, cy, n FROM b WHERE x0 <= 4000000 AND x1 >= 1000000 AND y0 <= 2000 AND y1 >= 1000""")
+def box_filtered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clustered table on disk, read through a box filter that reaches the scan."""
+    path, pa = Scratch(spark).path("patches"), F.col("pa")
+    write_patches(_compact(spark, sf_dir), path, cell=10000.0)
+    return read_patches(spark, path, ring="POLYGON ((10000 10, 10000 20, 40000 20, 40000 10, 10000 10))").select("g", "cx", "cy", pa["npoints"].cast("long").alias("n"))
+
+
+@query(f"""WITH {_COMPACT} SELECT g, cx, cy, (x0 <= 4000000 AND x1 >= 1000000 AND y0 <= 2000 AND y1 >= 1000) OR (x0 <= 9000000 AND x1 >= 8000000 AND y0 <= 4500 AND y1 >= 4000) AS hit FROM b""")
+def multi_polygon_intersects_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geometry first, and of two polygons."""
+    text = "MULTIPOLYGON (((10000 10, 10000 20, 40000 20, 40000 10, 10000 10)), ((80000 40, 80000 45, 90000 45, 90000 40, 80000 40)))"
+    return _compact(spark, sf_dir).select("g", "cx", "cy", geo.intersects(text, F.col("pa")).alias("hit"))
+
+
+@query("SELECT a // 400 AS gid, count(*) AS npoints, min(round((-127 + a / 100.0) / 0.01))::BIGINT AS x0, max(a)::DOUBLE AS z1 FROM range(1, 1601) AS t(a) GROUP BY 1")
+def generated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series as points and patches of 400."""
+    a = F.col("id")
+    rows = spark.range(1, 1601).withColumn("gid", F.floor(a / 400).cast("long"))
+    made = patching.patchify(rows, schema(101), [a / 100.0 - 127, a / 100.0 + 45, a.cast("double"), a / 10], ["gid"], [a])
+    pa = F.col("pa")
+    return made.select("gid", pa["npoints"].cast("long").alias("npoints"), pa["stats"]["min"][0].cast("long").alias("x0"), patches.patch_max(pa, schema(101), "z").alias("z1"))
+
+
+@query("SELECT * FROM (VALUES (101, 'dimensional', 4), (201, 'none', 4)) AS v(pcid, compr, ndims)")
+def schema_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema's document with another compression, by a regular expression, registered anew."""
+    both, text = Registry(), registry().table(spark).where("pcid = 101").select(F.col("schema"), F.regexp_replace("schema", "dimensional", "none").alias("clone")).first()
+    both.register(101, 0, text.schema)
+    both.register(201, 0, text.clone)
+    return spark.createDataFrame([(p, ("none", "dimensional", "laz")[both.get(p).compression], both.ndims(p)) for p in both.pcids()], "pcid int, compr string, ndims int")
+
+
+@query(f"WITH {_PTS} SELECT l_suppkey, count(*) AS npoints, max(x) AS x1 FROM pts GROUP BY l_suppkey")
+def create_table_as(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of patches made by CREATE TABLE ... AS SELECT, read back, and dropped from the catalog (its files stay)."""
+    name = f"patches_{uuid.uuid4().hex}"
+    build(spark, sf_dir).createOrReplaceTempView("made_patches")
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{Scratch(spark).path('ctas')}' AS SELECT l_suppkey, pa FROM made_patches")
+    location = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Location'").first().data_type
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.parquet(location).select("l_suppkey", F.col("pa.npoints").cast("long").alias("npoints"), F.col("pa.stats.max")[0].cast("long").alias("x1"))
+
+
+@query("SELECT l_returnflag, true AS near_distinct, true AS near_median FROM lineitem GROUP BY l_returnflag")
+def approximate_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches against exact figures: within 10 percent, and a median within two hundredths of the ranks."""
+    x = F.col("l_extendedprice")
+    got = lineitem(spark, sf_dir).groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("b"), F.percentile_approx(x, 0.5, 1000).alias("m"), F.percentile(x, F.array(F.lit(0.48), F.lit(0.52))).alias("p"))
+    return got.select("l_returnflag", (F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b")).alias("near_distinct"), F.col("m").between(F.col("p")[0], F.col("p")[1]).alias("near_median"))
+
+
+@query("""SELECT upper(substr(o_orderpriority, 1, 3)) AS kind, CAST(year(o_orderdate) AS INT) AS y, count(*) AS n, CAST(max(length(o_orderpriority)) AS INT) AS longest, CAST(sum(CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END) AS BIGINT) AS coded FROM orders GROUP BY ALL""")
+def string_date_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = F.create_map(F.lit("O"), F.lit(1), F.lit("F"), F.lit(2))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    own = orders.select(F.upper(F.substring("o_orderpriority", 1, 3)).alias("kind"), F.year("o_orderdate").alias("y"), F.length("o_orderpriority").alias("l"), F.coalesce(F.try_element_at(codes, "o_orderstatus"), F.lit(3)).alias("c"))
+    return own.groupBy("kind", "y").agg(F.count("*").alias("n"), F.max("l").alias("longest"), F.sum("c").cast("long").alias("coded"))
+
+
+@query("SELECT '0.1.0' AS version, false AS lazperf, '0.1.0' AS script, true AS tells_all")
+def version_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT pc_version() AS version, pc_lazperf_enabled() AS lazperf, pc_script_version() AS script, contains(pc_full_version(), pc_lib_version()) AND pc_libxml2_version() <> '' AND pc_pgsql_version() <> '' AND PC_PostGIS_Version() <> '' AS tells_all"
+    return _sql(spark, sf_dir, text)
+
+
+@query("SELECT * FROM (VALUES (-1, NULL), (0, NULL), (7, 7), (65543, 7)) AS v(typmod, pcid)")
+def type_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assert typmod_pcid(7) == 7
+    return _sql(spark, sf_dir, "SELECT t AS typmod, pc_typmod_pcid(t) AS pcid FROM VALUES (-1), (0), (7), (65543) AS v(t)")
+
+
+@query(f"WITH {_PTS}, q AS (SELECT l_suppkey, max(x) AS m FROM pts GROUP BY l_suppkey) SELECT p.l_suppkey, p.ord, p.x * 0.01 + p.y * 0.01 AS both FROM pts AS p JOIN q ON p.l_suppkey = q.l_suppkey AND p.x = q.m WHERE p.x > (SELECT avg(m) FROM q)")
+def cte_and_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = """WITH e AS (SELECT l_suppkey, CAST(e.ordinal AS BIGINT) AS ord, PC_Get(e.pt, 'x') AS x, PC_Get(e.pt, 'y') AS y FROM patches, LATERAL PC_Explode(patches.pa) AS e),
+        q AS (SELECT l_suppkey, PC_PatchMax(pa, 'x') AS m FROM patches)
+        SELECT e.l_suppkey, e.ord, e.x + e.y AS both FROM e JOIN q ON e.l_suppkey = q.l_suppkey AND e.x = q.m WHERE e.x > (SELECT avg(m) FROM q)"""
+    return _sql(spark, sf_dir, text, patches=build(spark, sf_dir))

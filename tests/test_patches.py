@@ -254,6 +254,37 @@ def test_overlap_join_is_exact(spark):
     assert got == sorted((i, j) for i, p in boxes for j, q in boxes if meet(p, q))
 
 
+def test_geometry_input(spark):
+    """Text and binary forms of every kind, in both orders, against a rule made of small steps."""
+    import struct
+
+    from stratapoint.errors import PointError
+    from stratapoint.functions.shapes import shape
+
+    square = [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0), (10.0, 0.0), (0.0, 0.0)]
+    hole = [(4.0, 4.0), (4.0, 6.0), (6.0, 6.0), (6.0, 4.0), (4.0, 4.0)]
+    ring = lambda r: "(" + ", ".join(f"{x} {y}" for x, y in r) + ")"
+    packed = lambda r: struct.pack("<I", len(r)) + b"".join(struct.pack("<2d", *p) for p in r)
+    wkb_ = struct.pack("<BIII", 1, 3 | 0x20000000, 4326, 2) + packed(square) + packed(hole)
+    with_hole = shape(f"SRID=4326;POLYGON ({ring(square)}, {ring(hole)})")
+    assert with_hole == shape(wkb_) == shape(wkb_.hex()) and with_hole.box() == (0, 10, 0, 10)
+    multi = shape(f"MULTIPOLYGON (({ring(square)}, {ring(hole)}), ({ring([(x + 20, y) for x, y in square])}))")
+    assert len(multi.polygons) == 2 and shape("MULTIPOINT (1 2, (3 4))").points == [(1, 2), (3, 4)] and shape("POLYGON EMPTY").box() is None
+    mixed = shape("GEOMETRYCOLLECTION (POINT Z (30 30 1), LINESTRING (40 0, 50 10))")
+    for bad in ("POLYGON ((0 0, 1 1))", "CIRCLE (1 1)", "POINT (1)", "POINT (1 2) x", b"\1\3\0\0\0"):
+        with pytest.raises(PointError):
+            shape(bad)
+    cases = {(4.5, 5.5, 4.5, 5.5): (False, False, False), (3, 5, 4.5, 5): (True, True, False), (5, 5, 1, 1): (True, True, False), (-1, 11, -1, 11): (True, True, False), (21, 22, 1, 2): (False, True, False), (29, 31, 29, 31): (False, False, True), (44, 46, 4, 6): (False, False, True), (40, 41, 8, 9): (False, False, False)}
+    for (x0, x1, y0, y1), want in cases.items():
+        b = F.struct(*[F.lit(float(v)).alias(n) for v, n in ((x0, "xmin"), (x1, "xmax"), (y0, "ymin"), (y1, "ymax"))])
+        p = F.struct(b.alias("bounds"))
+        assert tuple(spark.range(1).select(*[geo.intersects(p, g) for g in (with_hole, multi, mixed)]).first()) == want
+        assert spark.range(1).select(geo.intersects(multi, p)).first()[0] == want[1]
+    at = spark.createDataFrame([(5.0, 5.0), (4.0, 5.0), (1.0, 1.0), (25.0, 5.0), (30.0, 30.0), (45.0, 5.0), (45.0, 5.5)], "x double, y double")
+    got = at.select(*[geo.point_meets(F.col("x"), F.col("y"), g).alias(f"g{i}") for i, g in enumerate((with_hole, multi, mixed))]).collect()
+    assert [tuple(r) for r in got] == [(False, False, False), (True, True, False), (True, True, False), (False, True, False), (False, False, True), (False, False, True), (False, False, False)]
+
+
 def test_chips_are_bounded(spark):
     df = spark.range(3000).select((F.col("id") % 7).cast("double").alias("x"), F.lit(1.0).alias("y"), "id")
     chips = spatial.chip(df, F.col("x"), F.col("y"), 1.0, [F.col("id")], 100)
