@@ -339,22 +339,42 @@ def _names_of(buckets: int):
     return run
 
 
-def _private(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many names of a task belong to one node only, by node."""
+_SUMS = "bucket int, packed binary"
+
+
+def _private(buckets: int):
+    """How many names of a task belong to one node only, by node; one row for each bucket of nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for name, node in _buckets(batches):
+            order = np.argsort(name)
+            name, node = name[order], node[order]
+            new = np.r_[True, name[1:] != name[:-1], True]
+            alone, many = np.unique(node[new[1:] & new[:-1]], return_counts=True)
+            sums.add(alone, many.astype(np.int64))
+        if sums.parts:
+            node, many = sums.total()
+            bucket = node % buckets
+            own = [(int(k), np.stack((node[bucket == k], many[bucket == k])).tobytes()) for k in np.unique(bucket)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int32()), pa.array([x[1] for x in own], pa.binary())], ["bucket", "packed"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = _Sums()
-    for name, node in _buckets(batches):
-        order = np.argsort(name)
-        name, node = name[order], node[order]
-        new = np.r_[True, name[1:] != name[:-1], True]
-        alone, many = np.unique(node[new[1:] & new[:-1]], return_counts=True)
-        sums.add(alone, many.astype(np.int64))
+    for b in batches:
+        for row in b.column(1):
+            sums.add(*np.frombuffer(row.as_buffer(), np.int64).reshape(2, -1))
     yield from sums.batches(["node", "alone"])
 
 
 def _sharing(scratch: Scratch, big: DataFrame, rule: Rule, buckets: int, name: str) -> DataFrame:
     """Documents of large cells that can link at all: too many shingles of their own rule that out."""
-    alone = big.select("cell", "node", "shingles").mapInArrow(_names_of(buckets), "bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_private, "node long, alone long")
-    alone = scratch.table(alone.groupBy("node").agg(F.sum("alone").alias("alone")), f"{name}-alone")
+    names = big.select("cell", "node", "shingles").mapInArrow(_names_of(buckets), "bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    alone = names.mapInArrow(_private(buckets // 8), _SUMS).repartition("bucket").mapInArrow(_summed, "node long, alone long")
+    alone = scratch.table(alone, f"{name}-alone")
     n = F.length("shingles") / 8
     left = big.join(alone, "node", "left").where(rule.den * (n - F.coalesce("alone", F.lit(0))) >= rule.num * n)
     return scratch.table(left.select("cell", "node", "pop", "shingles"), f"{name}-left")
