@@ -53,7 +53,7 @@ CELL_DOCS, CELL_SHINGLES = 256, 1 << 21
 #: Pivots of a turn, of a cell, how many of them make regions, and the bytes of a broadcast block of pivots.
 PIVOTS, CENTRES, BLOCK_BYTES = 512, 16, 32 << 20
 #: Bytes of texts that are cut into shingles together, and regions that travel together.
-BATCH_BYTES, BATCH_NAMES = 2 << 20, 1 << 19
+BATCH_BYTES, BATCH_NAMES = 2 << 20, 1 << 18
 #: Documents sampled from a large cell to see which shingles are common in it.
 SAMPLE = 64
 #: Candidate documents up to this number are matched with their texts by a broadcast of their ids, else by a shuffle.
@@ -185,7 +185,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 class _Sums:
     """Counts by one or two keys, added up whenever many have come together."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -279,6 +279,7 @@ def _small_cells(rule: Rule):
     """Rows sorted by cell: node and the least node of its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         held: dict[int, tuple[int, np.ndarray]] = {}
         at = None
 
@@ -327,6 +328,7 @@ def _names_of(buckets: int):
     """All shingles of a document under its cell, as region names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         for b in batches:
             names, nodes = [], []
             for cell, node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -346,6 +348,7 @@ def _private(buckets: int):
     """How many names of a task belong to one node only, by node; one row for each bucket of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         sums = _Sums()
         for name, node in _buckets(batches):
             order = np.argsort(name)
@@ -363,6 +366,7 @@ def _private(buckets: int):
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("jaccard")
     sums = _Sums()
     for b in batches:
         for row in b.column(1):
@@ -385,6 +389,7 @@ def _by_prefix(rule: Rule, buckets: int):
 
     def make(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("jaccard")
             common: dict[int, np.ndarray] = {}
             for b in batches:
                 names, nodes = [], []

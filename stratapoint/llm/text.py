@@ -19,7 +19,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 class WordHash(dict):
     """word -> 64-bit hash, for a bounded number of words at a time."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -33,18 +33,25 @@ _CACHES: dict[str, Callable[[], None]] = {"words": WORD_HASH.clear}
 _last = [""]
 
 
+#: Freed blocks of so many bytes go back to the system at once.
+_LARGE = 4 << 20
+
+
 def claim(owner: str, cache: Callable[[], None] | None = None) -> None:
-    """Called at the start of a task: a worker that did another operator's work before gives back what it kept for that."""
+    """Called at the start of a task: the worker gives back memory that earlier tasks have freed, and what it kept for another operator."""
     if cache is not None:
         _CACHES[owner] = cache
+    libc = ctypes.CDLL(None)
+    if not _last[0] and hasattr(libc, "mallopt"):  # else the C library keeps ever larger blocks
+        libc.mallopt(-3, _LARGE)
+        libc.mallopt(-1, _LARGE)
     if _last[0] not in ("", owner):
         for clear in _CACHES.values():
             clear()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
-        if trim is not None:
-            trim(0)
     _last[0] = owner
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
