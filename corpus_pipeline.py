@@ -10,6 +10,13 @@ as Parquet in the shared folder and reads it again.
 3. near_dedup: five-word shingles, Jaccard 0.8 or more; the smallest doc_id of each group stays.
 4. decontamination: documents with passages of two or more benchmark items go; of others the passages themselves go.
 5. packing: sequences of at most 2048 ids.
+
+Rows with a null text, an empty one or one without letters go in stage 1. A null doc_id loses against any id in stages 2 and
+3; where all have none, one row of equal texts stays, and of documents that are only near, all (they have no smallest id).
+Rows that repeat doc_id and text become one; rows that repeat a doc_id alone are documents of their own. Very long texts
+take the same way as others. Columns named like those that operators add stay what they are, but for ``lang_pred``,
+``score`` (stage 1), ``hit_spans``, ``hit_items``, ``n_words`` and ``n_hit`` (stage 4), which are replaced or dropped. Empty
+tables give empty tables.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ size by a hash of its rows (a single item is not cut), and the corpus passes thr
 block. A stage holds at most ``CHAIN`` blocks; then its result is written, and the blocks are given back.
 
 Null text has no words; a null item_id reads as the string ``null``; rows that repeat an item_id are one item with several
-texts. An empty benchmark hits nothing. Repeated documents are judged one by one. Further columns pass through; this
+texts. An empty benchmark hits nothing. Long documents are scanned whole. Repeated documents are judged one by one. Further columns pass through; this
 operator's own are named ``n_words``, ``hit_spans`` (binary, pairs of 32-bit word numbers), ``hit_items`` and ``n_hit``, and replace columns of those names.
 """
 

@@ -6,7 +6,7 @@ most ``k`` rows, are broadcast so that their copies are resolved on the map side
 than 1/(k+1) of the rows and goes through an ordinary shuffle.
 
 Null text counts as the empty text. A null doc_id never wins against an id; in a group without any id, and for rows that
-repeat one id and text, every such row is the row that stays (they are one document). An empty table gives no rows.
+repeat one id and text, every such row is the row that stays (they are one document). A text is hashed whole, however long. An empty table gives no rows.
 Further columns of the input are ignored, whatever their names.
 """
 

@@ -26,7 +26,7 @@ yields a star of candidate edges, never all pairs. Components are found by ``com
 Words are runs of anything but ASCII white space, A-Z lower-cased. With fewer words than a shingle takes, the whole
 sequence is one shingle; without words, or with null text, the set is empty and links with nothing. Shingles are compared
 by 64-bit hashes and sets by 128-bit digests. component_id is the smallest doc_id of a component; null ids come last and
-a component without ids has a null one. Rows that repeat a doc_id are documents of their own that share that id. An empty
+a component without ids has a null one. Rows that repeat a doc_id are documents of their own that share that id. Very long texts are shingled whole; their sets travel as one value. An empty
 table gives no rows; further columns are ignored.
 """
 
@@ -148,7 +148,7 @@ def _packed(names: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatc
     bucket, names, nodes = bucket[order], names[order] // np.uint64(buckets), nodes[order]
     at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     rows = []
-    for a, z in zip(at, [*at[1:], len(bucket)], strict=True):
+    for a, z in zip(at, [*at[1:], len(bucket)][: len(at)], strict=True):
         own = nodes[a:z]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         many = np.diff(np.r_[first, z - a]).astype("<u4")

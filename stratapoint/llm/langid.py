@@ -10,7 +10,7 @@ chosen by a hash of their doc_id; counts are summed in Spark and only profiles r
 
 A text that is null or has no letter is ``und`` with score 0; so is everything if there are no labelled rows. Rows with a
 null lang are not learned from; a null doc_id counts as the empty string where its checksum is asked for. Repeated rows
-are judged one by one. An empty table gives no rows. Other columns are ignored.
+are judged one by one. An empty table gives no rows. Very long texts are counted whole, by one pass over their code points. Other columns are ignored.
 """
 
 from __future__ import annotations

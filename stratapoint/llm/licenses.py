@@ -17,7 +17,7 @@ A file's own licence is that of the full text it is, else its SPDX tag, else its
 "all rights reserved", then the best score, then the first). Files without their own inherit from the nearest ancestor
 directory that has one: the distinct directories are joined with it by their ancestors' paths, then the files by theirs.
 
-Null text has no licence, a null path no directory; rows that repeat path and text have one result each; without files
+Very long texts are split into words as a whole. Null text has no licence, a null path no directory; rows that repeat path and text have one result each; without files
 there are no rows. Other columns pass through and this operator's replace columns of the same names.
 """
 

@@ -12,7 +12,7 @@ loses lines (bit set: the line stays); ``apply_bitmaps`` joins them with the tex
 
 Null and empty text are one empty line. A null doc_id counts as one document and as the smallest. Rows that repeat a
 doc_id are one document for counting; each row's own lines are judged. Rows are told apart by doc_id and text, so
-repeated rows share a bitmap. An empty table gives no rows. Columns besides doc_id and text are ignored.
+repeated rows share a bitmap. Very long texts and lines are only hashed. An empty table gives no rows. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations

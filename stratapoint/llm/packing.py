@@ -13,7 +13,7 @@ each length, ``capacity`` numbers however many documents there are, so it is sol
 The plan says, for ranks of each length, which sequences and offsets they take. Pieces get their rank from a range
 partitioning by length and identity, so that a length with a third of all pieces is spread over many tasks.
 
-Null or empty text is the end id alone. Rows that repeat a doc_id are documents of their own. An empty table packs into
+Very long texts are encoded whole and cut into pieces. Null or empty text is the end id alone. Rows that repeat a doc_id are documents of their own. An empty table packs into
 nothing. Further columns are ignored, whatever their names.
 """
 

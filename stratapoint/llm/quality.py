@@ -14,7 +14,7 @@ number of rows (one figure a task) says which ranks it holds.
 Null and empty texts have no n-grams and weight 0. Labels for unknown documents, null labels and repeated labels are
 harmless (a document is target if any label of it says quality 1); without any target every weight is 0 and the share 1.
 Rows with a null doc_id can be sampled like others; rows that repeat doc_id and text have equal keys, and ties go by
-doc_id. An empty table gives no rows. Other columns are ignored.
+doc_id. Very long texts are counted whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

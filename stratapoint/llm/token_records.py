@@ -10,7 +10,7 @@ like any other Spark output, on any file system, and a lost executor costs a tas
 ``BLOCK_BYTES`` (or one record), a file at most ``BLOCKS_PER_FILE`` rows. Files in the order of their names hold the
 documents in ascending doc_id (null first; rows that repeat an id stand together in the order of a hash of their text).
 
-Null text counts as empty: the end id alone. An empty table gives no records. Columns besides doc_id and text are ignored.
+A very long text is one record, and a block of its own if need be. Null text counts as empty: the end id alone. An empty table gives no records. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ def documents(seed=3, n=60):
             w[rng.randrange(60)] = f"edit{rng.randrange(99)}"
         rows.append((1000 + k, " ".join(w)))
     rows += [(2000 + k, "Same TEXT again".upper() if k % 2 else "same text again") for k in range(6)]
-    rows += [(3000, None), (3001, ""), (3002, "   \n\t"), (None, "no id at all here"), (None, None), (3003, "twice the row"), (3003, "twice the row"), (3003, "another text under one id"), (3004, "x" * 5000), (3005, "one two"), (3006, "one two")]
+    rows += [(3000, None), (3001, ""), (3002, "   \n\t"), (None, "no id at all here"), (None, None), (3003, "twice the row"), (3003, "twice the row"), (3003, "another text under one id"), (3004, "x" * 5000), (3005, "one two"), (3006, "one two"), (3007, " ".join(words(rng, 12_000)))]
     rng.shuffle(rows)
     return rows
 
@@ -37,6 +37,11 @@ def lower(text):
 
 def jaccard_components(rows, n, num, den):
     """(doc_id, n_shingles, component_id) of every row, from all pairs."""
+    return Counter(jaccard_rows(rows, n, num, den))
+
+
+def jaccard_rows(rows, n, num, den):
+    """The same, row by row."""
     sets = []
     for _, text in rows:
         w = [x for x in re.split("[ \t-\r]+", lower(text)) if x]
@@ -50,4 +55,4 @@ def jaccard_components(rows, n, num, den):
     least = {}
     for (i, _), lab in zip(rows, label, strict=True):
         least[lab] = min((x for x in (least.get(lab), i) if x is not None), default=None)
-    return Counter((i, len(s), least[lab]) for (i, _), s, lab in zip(rows, sets, label, strict=True))
+    return [(i, len(s), least[lab]) for (i, _), s, lab in zip(rows, sets, label, strict=True)]
