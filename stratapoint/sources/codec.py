@@ -113,14 +113,20 @@ def decode(raw: bytes, codec: int, dtype: str, n: int, order: str = "<") -> np.n
     return np.frombuffer(zlib.decompress(raw) if codec == ZLIB else raw, "<" + dtype, n)
 
 
+#: So many points are a sample that no more patches add to (a fixed value).
+SAMPLE_POINTS = 10_000
+
+
 class DimensionStats:
-    """Runs and shared bits of each dimension over patches, and the codec they recommend."""
+    """Runs and shared bits of each dimension over patches, until they are a sample, and the codec they recommend."""
 
     def __init__(self, schema: Schema):
         self.schema, self.points, self.patches = schema, 0, 0
         self.runs, self.bits = [0] * schema.ndims, [0] * schema.ndims
 
     def update(self, dims: list[np.ndarray]) -> None:
+        if self.points >= SAMPLE_POINTS:
+            return
         self.points += len(dims[0])
         self.patches += 1
         for i, d in enumerate(dims):

@@ -134,13 +134,14 @@ class _Writer(DataSourceWriter):
         import glob
         import os
 
-        if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, "*.hex")):
-                os.remove(old)
+        before = glob.glob(os.path.join(self.path, "*.hex"))
         for m in messages:
             if m is not None:
                 head, name = os.path.split(m.name)
                 os.rename(m.name, os.path.join(head, name[1:-4] + ".hex"))
+        if self.overwrite:  # only when the new files are there
+            for old in before:
+                os.remove(old)
 
     def abort(self, messages: list) -> None:
         import contextlib

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stratapoint.errors import PointError
+from stratapoint.plans.formats import schema
 from stratapoint.sources import codec
 from tests.formats import S1, S3, S10, S11, dims
 from stratapoint.schema import Schema
@@ -102,3 +103,12 @@ def test_codec_matrix(asked):
         back = codec.patch_from_wkb(S11, codec.patch_to_wkb(S11, 1, cols, asked))
         assert [c.tolist() for c in back] == [[float(x) for x in c] for c in cols]
         assert [c.tolist() for c in codec.patch_from_wkb(S10, codec.patch_to_wkb(S10, 0, cols))] == [[float(x) for x in c] for c in cols]
+
+
+def test_sampling_stops():
+    s = schema(101)
+    stats = codec.DimensionStats(s)
+    flat, mixed = [np.zeros(6000, "<" + d.dtype) for d in s.dims], [np.arange(6000).astype("<" + d.dtype) for d in s.dims]
+    for dims in (flat, flat, mixed, mixed):
+        stats.update(dims)
+    assert (stats.points, stats.patches) == (12_000, 2) and stats.recommended() == [codec.RLE] * 4
