@@ -513,11 +513,11 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, **views: DataFrame) -> Dat
 
 
 @query(f"""WITH {_PTS}, f AS (SELECT l_suppkey, x, y, z, i, row_number() OVER (PARTITION BY l_suppkey ORDER BY ord) AS k, count(*) OVER (PARTITION BY l_suppkey) AS m FROM pts WHERE y * 0.01 > 10 AND y * 0.01 < 30)
-    SELECT l_suppkey, k, x * 0.01 AS x, z, i FROM f""")
+    SELECT l_suppkey, k, round(x * 0.01, 6)::DOUBLE AS x, z, i FROM f""")
 def sql_filter_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = """SELECT l_suppkey, CAST(e.ordinal AS BIGINT) AS k, PC_Get(e.pt, 'x') AS x, CAST(e.pt.raw[2] AS BIGINT) AS z, CAST(e.pt.raw[3] AS BIGINT) AS i
-        FROM (SELECT l_suppkey, PC_FilterBetween(pa, 'y', 30, 10) AS pa FROM patches) AS f, LATERAL PC_Explode(f.pa) AS e"""
-    return _sql(spark, sf_dir, text, patches=build(spark, sf_dir))
+    text = """SELECT l_suppkey, CAST(e.ordinal AS BIGINT) AS k, round(PC_Get(e.pt, 'x'), 6) AS x, CAST(e.pt.raw[2] AS BIGINT) AS z, CAST(e.pt.raw[3] AS BIGINT) AS i
+        FROM (SELECT l_suppkey, PC_FilterBetween(pa, 'y', 30, 10) AS pa FROM own_patches) AS f, LATERAL PC_Explode(f.pa) AS e"""
+    return _sql(spark, sf_dir, text, own_patches=build(spark, sf_dir))
 
 
 _MODE = "count(*) FILTER (WHERE {}) AS {}"
@@ -528,39 +528,39 @@ def sql_filter_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four modes, and the default value of 0."""
     n = "CAST(coalesce(PC_NumPoints(PC_Filter{}), 0) AS BIGINT) AS {}"
     calls = ((("LessThan(pa, 'y', 20)"), "less"), ("GreaterThan(pa, 'Y', 20)", "more"), ("Equals(pa, 'y', 20)", "same"), ("Between(pa, 'y', 10, 30)", "between"), ("LessThan(pa, 'z')", "default"))
-    return _sql(spark, sf_dir, f"SELECT l_suppkey, {', '.join(n.format(f, c) for f, c in calls)} FROM patches", patches=build(spark, sf_dir))
+    return _sql(spark, sf_dir, f"SELECT l_suppkey, {', '.join(n.format(f, c) for f, c in calls)} FROM own_patches", own_patches=build(spark, sf_dir))
 
 
 @query(f"""WITH {_PTS}, s AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY y, z, ord) AS k FROM pts)
     SELECT l_suppkey, any_value(n) AS npoints, max(CASE WHEN k = 2 THEN x END) AS second_x, max(CASE WHEN k = n THEN x END) AS last_x, true AS sorted, 101 AS pcid FROM s GROUP BY l_suppkey""")
 def sql_sort_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = """WITH s AS (SELECT l_suppkey, PC_Sort(pa, array('y', 'z')) AS pa FROM patches)
+    text = """WITH s AS (SELECT l_suppkey, PC_Sort(pa, array('y', 'z')) AS pa FROM own_patches)
         SELECT l_suppkey, CAST(PC_NumPoints(pa) AS BIGINT) AS npoints, CAST(PC_PointN(PC_Range(pa, 2, 1), 1).raw[0] AS BIGINT) AS second_x, CAST(PC_PointN(pa, -1).raw[0] AS BIGINT) AS last_x,
             PC_IsSorted(pa, array('y', 'z'), true) AS sorted, PC_PCId(pa) AS pcid FROM s"""
-    return _sql(spark, sf_dir, text, patches=build(spark, sf_dir))
+    return _sql(spark, sf_dir, text, own_patches=build(spark, sf_dir))
 
 
-@query(f"""WITH {_PTS} SELECT l_suppkey % 50 AS g, count(*) AS npoints, min(x) * 0.01 AS x_min, max(y) * 0.01 AS y_max, round(sum(i)::DOUBLE / count(*)) AS i_avg, 2 * count(*) AS twice FROM pts GROUP BY 1""")
+@query(f"""WITH {_PTS} SELECT l_suppkey % 50 AS g, count(*) AS npoints, round(min(x) * 0.01, 6)::DOUBLE AS x_min, round(max(y) * 0.01, 6)::DOUBLE AS y_max, round(sum(i)::DOUBLE / count(*)) AS i_avg, 2 * count(*) AS twice FROM pts GROUP BY 1""")
 def sql_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points to patches and patches to one, by the aggregates' SQL names over what a group collects."""
-    text = """WITH p AS (SELECT l_suppkey, PC_Patch(collect_list(PC_MakePoint(101, array(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_linenumber AS DOUBLE))))) AS pa FROM lineitem GROUP BY l_suppkey),
+    text = """WITH p AS (SELECT l_suppkey, PC_Patch(collect_list(PC_MakePoint(101, array(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_linenumber AS DOUBLE))))) AS pa FROM own_lineitem GROUP BY l_suppkey),
         u AS (SELECT l_suppkey % 50 AS g, PC_Union(collect_list(pa)) AS pa FROM p GROUP BY l_suppkey % 50)
-        SELECT CAST(g AS BIGINT) AS g, CAST(PC_NumPoints(pa) AS BIGINT) AS npoints, PC_PatchMin(pa, 'X') AS x_min, PC_PatchMax(pa, 'y') AS y_max, PC_PatchAvg(pa, 'Intensity') AS i_avg, CAST(PC_NumPoints(PC_Union(array(pa, pa))) AS BIGINT) AS twice FROM u"""
-    return _sql(spark, sf_dir, text, lineitem=lineitem(spark, sf_dir))
+        SELECT CAST(g AS BIGINT) AS g, CAST(PC_NumPoints(pa) AS BIGINT) AS npoints, round(PC_PatchMin(pa, 'X'), 6) AS x_min, round(PC_PatchMax(pa, 'y'), 6) AS y_max, PC_PatchAvg(pa, 'Intensity') AS i_avg, CAST(PC_NumPoints(PC_Union(array(pa, pa))) AS BIGINT) AS twice FROM u"""
+    return _sql(spark, sf_dir, text, own_lineitem=lineitem(spark, sf_dir))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, 101 AS pcid, 25 AS bytes, '{{\"pcid\":101,\"pt\":[' || printf('%g', round(l_extendedprice / 0.01) * 0.01::DOUBLE) || ',' || printf('%g', round(l_quantity / 0.01) * 0.01::DOUBLE) || ',' || printf('%g', round(l_discount / 0.01) * 0.01::DOUBLE) || ',' || printf('%g', l_linenumber::DOUBLE) || ']}}' AS text FROM lineitem")
 def sql_point_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _points(spark, sf_dir).select("l_orderkey", "l_linenumber", "pt")
-    return _sql(spark, sf_dir, "SELECT l_orderkey, l_linenumber, PC_PointPCId(pt) AS pcid, PC_PointMemSize(pt) AS bytes, PC_PointAsText(pt) AS text FROM points", points=rows)
+    return _sql(spark, sf_dir, "SELECT l_orderkey, l_linenumber, PC_PointPCId(pt) AS pcid, PC_PointMemSize(pt) AS bytes, PC_PointAsText(pt) AS text FROM own_points", own_points=rows)
 
 
-@query(f"""WITH {_PTS} SELECT l_suppkey, {", ".join(f"{f}({c}) * {s} AS {f}_{c}" for c, s in (("x", 0.01), ("y", 0.01), ("z", 0.01), ("i", "1.0")) for f in ("min", "max"))}, round(sum(y)::DOUBLE / count(*)) * 0.01 AS avg_y FROM pts GROUP BY l_suppkey""")
+@query(f"""WITH {_PTS} SELECT l_suppkey, {", ".join(f"round({f}({c}) * {s}, 6)::DOUBLE AS {f}_{c}" for c, s in (("x", 0.01), ("y", 0.01), ("z", 0.01), ("i", "1.0")) for f in ("min", "max"))}, round(round(sum(y)::DOUBLE / count(*)) * 0.01, 6)::DOUBLE AS avg_y FROM pts GROUP BY l_suppkey""")
 def patch_stat_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimum, maximum and average of one dimension as a value, by number of the statistic."""
     s, pa = schema(101), F.col("pa")
-    cols = [patches.patch_stat(pa, s, k, d).alias(f"{n}_{d[0].lower()}") for d in ("X", "Y", "Z", "Intensity") for k, n in ((0, "min"), (1, "max"))]
-    return build(spark, sf_dir).select("l_suppkey", *cols, patches.patch_avg(pa, s, "y").alias("avg_y"))
+    cols = [F.round(patches.patch_stat(pa, s, k, d), 6).alias(f"{n}_{d[0].lower()}") for d in ("X", "Y", "Z", "Intensity") for k, n in ((0, "min"), (1, "max"))]
+    return build(spark, sf_dir).select("l_suppkey", *cols, F.round(patches.patch_avg(pa, s, "y"), 6).alias("avg_y"))
 
 
 @query(f"""WITH {_COMPACT} SELECT g, cx, cy, n FROM b WHERE x0 <= 4000000 AND x1 >= 1000000 AND y0 <= 2000 AND y1 >= 1000""")
@@ -636,9 +636,9 @@ def type_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, "SELECT t AS typmod, pc_typmod_pcid(t) AS pcid FROM VALUES (-1), (0), (7), (65543) AS v(t)")
 
 
-@query(f"WITH {_PTS}, q AS (SELECT l_suppkey, max(x) AS m FROM pts GROUP BY l_suppkey) SELECT p.l_suppkey, p.ord, p.x * 0.01 + p.y * 0.01 AS both FROM pts AS p JOIN q ON p.l_suppkey = q.l_suppkey AND p.x = q.m WHERE p.x > (SELECT avg(m) FROM q)")
+@query(f"WITH {_PTS}, q AS (SELECT l_suppkey, max(x) AS m FROM pts GROUP BY l_suppkey) SELECT p.l_suppkey, p.ord, round(p.x * 0.01 + p.y * 0.01, 6)::DOUBLE AS both FROM pts AS p JOIN q ON p.l_suppkey = q.l_suppkey AND p.x = q.m WHERE p.x > (SELECT avg(m) FROM q)")
 def cte_and_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = """WITH e AS (SELECT l_suppkey, CAST(e.ordinal AS BIGINT) AS ord, PC_Get(e.pt, 'x') AS x, PC_Get(e.pt, 'y') AS y FROM patches, LATERAL PC_Explode(patches.pa) AS e),
-        q AS (SELECT l_suppkey, PC_PatchMax(pa, 'x') AS m FROM patches)
-        SELECT e.l_suppkey, e.ord, e.x + e.y AS both FROM e JOIN q ON e.l_suppkey = q.l_suppkey AND e.x = q.m WHERE e.x > (SELECT avg(m) FROM q)"""
-    return _sql(spark, sf_dir, text, patches=build(spark, sf_dir))
+    text = """WITH e AS (SELECT l_suppkey, CAST(e.ordinal AS BIGINT) AS ord, PC_Get(e.pt, 'x') AS x, PC_Get(e.pt, 'y') AS y FROM own_patches, LATERAL PC_Explode(own_patches.pa) AS e),
+        q AS (SELECT l_suppkey, PC_PatchMax(pa, 'x') AS m FROM own_patches)
+        SELECT e.l_suppkey, e.ord, round(e.x + e.y, 6) AS both FROM e JOIN q ON e.l_suppkey = q.l_suppkey AND e.x = q.m WHERE e.x > (SELECT avg(m) FROM q)"""
+    return _sql(spark, sf_dir, text, own_patches=build(spark, sf_dir))
