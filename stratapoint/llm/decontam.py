@@ -123,7 +123,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(block, text_at: int, names: list[str]):
+def _scan(block, text_at: int, names: list[str], drop_from: int | None = None):
+    """With drop_from: only documents of fewer items, without their hit spans, in the same pass (a second pass would
+    take a second worker beside each of this one's)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("windows")
         windows: Windows = block.value
@@ -139,6 +142,17 @@ def _scan(block, text_at: int, names: list[str]):
                 hit.append(sum(z - a for a, z in s))
                 spans.append(np.array(s, "<u4").tobytes())
                 items.append(sorted(i.union(owners or ())))
+            if drop_from is not None:
+                at = [k for k, own in enumerate(items) if len(own) < drop_from]
+                texts = []
+                for k in at:
+                    t = b.column(text_at)[k].as_py()
+                    s = np.frombuffer(spans[k], "<u4").reshape(-1, 2).tolist()
+                    texts.append(remove_spans(t.encode(), s).decode() if s else t)
+                cols = [c.take(pa.array(at, pa.int64())) for c in b.columns[: len(names)]]
+                cols[text_at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names)
+                continue
             added = [pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(count, pa.int64()), pa.array(hit, pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *added], [*names, *ADDED])
 
@@ -160,6 +174,10 @@ def _blocks(benchmark: DataFrame, n: int, block_bytes: int) -> tuple[int, Callab
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(text, ...) with hit_spans, hit_items, n_words and n_hit (words hit)."""
+    return _scans(docs, benchmark, n, block_bytes, None)
+
+
+def _scans(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, drop_from: int | None) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     own = {x.lower() for x in ADDED}
@@ -171,7 +189,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, block_
     scratch, sent = Scratch(spark), []
     for k in range(many):
         sent.append(block(k))
-        out = (out if k == 0 else out.drop("n_words", "n_hit")).mapInArrow(_scan(sent[-1], text_at, names), schema)
+        out = out if k == 0 else out.drop("n_words", "n_hit")
+        if k + 1 == many and drop_from is not None:
+            return out.mapInArrow(_scan(sent[-1], text_at, names, drop_from), StructType(schema.fields[: len(names)]))
+        out = out.mapInArrow(_scan(sent[-1], text_at, names), schema)
         if len(sent) == CHAIN and k + 1 < many:
             out = scratch.table(out, f"hits-{k}")
             scratch.only(f"hits-{k}")
@@ -191,23 +212,6 @@ def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[end:]])
 
 
-def _cut(text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for t, s in zip(b.column(text_at), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                t = t.as_py()
-                texts.append(remove_spans(t.encode(), np.frombuffer(s, "<u4").reshape(-1, 2).tolist()).decode() if t is not None and s else t)
-            cols = [*b.columns[: b.num_columns - 1]]
-            cols[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
-
-    return run
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, drop_from: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, drop_from: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without documents in which windows of at least drop_from items occur, and without the hit spans of the others."""
-    found = find_contamination(docs, benchmark, n).where(F.size("hit_items") < drop_from)
-    names = [c for c in found.columns if c not in ADDED]
-    kept = found.select(*[F.col(f"`{c}`") for c in names], "hit_spans")
-    return kept.mapInArrow(_cut([c.lower() for c in names].index("text")), kept.drop("hit_spans").schema)
+    return _scans(docs, benchmark, n, block_bytes, drop_from)

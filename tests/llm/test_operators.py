@@ -211,7 +211,8 @@ def test_decontamination(spark, docs):
         assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.hit_items)) for r in found.collect()) == plain_decontamination(docs, bench)
     empty = decontam.find_contamination(fx.frame(spark, docs), b.where("1 = 0"))
     assert empty.agg(F.sum("n_hit"), F.count("*")).first() == (0, len(docs))
-    left = decontam.decontaminate(fx.frame(spark, docs), b)
+    left, again = (decontam.decontaminate(fx.frame(spark, docs), b, block_bytes=size) for size in (1 << 20, 40))
+    assert table(left) == table(again)
     assert left.columns == [c for c in fx.frame(spark, docs).columns if c != "hit_items"]
     assert plain_decontamination([(r.doc_id, r.text) for r in left.where("doc_id >= 2000 and doc_id < 2006").collect()], [(2, "same text again")]) == Counter({(2000 + k, 0, 0, ()): 1 for k in range(6)})
 
