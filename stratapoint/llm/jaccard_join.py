@@ -54,6 +54,14 @@ CELL_DOCS, CELL_SHINGLES = 256, 1 << 21
 PIVOTS, CENTRES, BLOCK_BYTES = 512, 16, 32 << 20
 #: Bytes of texts that are cut into shingles together, and regions that travel together.
 BATCH_BYTES, BATCH_NAMES = 2 << 20, 1 << 18
+#: Bytes that a region's name keeps besides its bucket. Names that are taken for each other only add candidates, which are compared exactly.
+NAME_BYTES = 5
+#: Names of a bucket are looked at in so many turns at most, of about so many names.
+TURNS, TURN_NAMES = 8, 1 << 18
+#: Who leaves large cells is broadcast as bitmaps of 32,768 documents (4 KiB) up to this number, else joined by a shuffle of the sets.
+BITMAPS = 4096
+#: The first count of private shingles looks at one in so many, the second at all that are left.
+PARTS = 2
 #: Documents sampled from a large cell to see which shingles are common in it.
 SAMPLE = 64
 #: Candidate documents up to this number are matched with their texts by a broadcast of their ids, else by a shuffle.
@@ -142,44 +150,68 @@ def _identity(n: int):
 
 
 def _packed(names: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Region names and their members, packed by bucket of the name."""
+    """Region names and their members, packed by bucket of the name. A name costs NAME_BYTES and a bit (whether a member begins
+    there), and a member of a bucket as many bytes as the range of members takes: many buckets leave it about one name in each."""
     bucket = (names % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((nodes, bucket))
-    bucket, names, nodes = bucket[order], names[order] // np.uint64(buckets), nodes[order]
+    bucket, nodes = bucket[order], nodes[order]
+    low = _narrow(names[order] // np.uint64(buckets), NAME_BYTES)
     at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     rows = []
     for a, z in zip(at, [*at[1:], len(bucket)][: len(at)], strict=True):
-        own = nodes[a:z]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        many = np.diff(np.r_[first, z - a]).astype("<u4")
-        rows.append(np.uint32(len(first)).tobytes() + own[first].tobytes() + many.tobytes() + (names[a:z] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (names[a:z] >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2").tobytes())
+        new = np.r_[True, nodes[a + 1 : z] != nodes[a : z - 1]]
+        own = nodes[a:z][new].view(np.uint64)
+        above = own - own[0]
+        width = max(1, (int(above[-1]).bit_length() + 7) // 8)
+        rows.append(np.uint32(z - a).tobytes() + bytes([width]) + own[:1].tobytes() + np.packbits(new).tobytes() + _narrow(above, width).tobytes() + low[a:z].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(rows, pa.binary())], ["bucket", "packed"])
 
 
+def _narrow(x: np.ndarray, width: int) -> np.ndarray:
+    """The low bytes of each number."""
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _wide(row: bytes, at: int, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(row, np.uint8, n * width, at).reshape(n, width)
+    return out.view("<u8").ravel()
+
+
 def _unpacked(row: bytes) -> tuple[np.ndarray, np.ndarray]:
-    f = int(np.frombuffer(row, "<u4", 1)[0])
-    own = np.frombuffer(row, "<i8", f, 4)
-    many = np.frombuffer(row, "<u4", f, 4 + 8 * f)
-    n = int(many.sum())
-    low = np.frombuffer(row, "<u4", n, 4 + 12 * f).astype(np.uint64)
-    high = np.frombuffer(row, "<u2", n, 4 + 12 * f + 4 * n).astype(np.uint64)
-    return low | high << np.uint64(32), np.repeat(own, many)
+    n, width = int(np.frombuffer(row, "<u4", 1)[0]), row[4]
+    least, at = np.frombuffer(row, "<u8", 1, 5), 13 + (n + 7) // 8
+    new = np.unpackbits(np.frombuffer(row, np.uint8, at - 13, 13), count=n)
+    many = int(new.sum())
+    own = (least + _wide(row, at, many, width)).view(np.int64)
+    return _wide(row, at + many * width, n, NAME_BYTES), own[np.cumsum(new, dtype=np.int64) - 1]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows sorted by bucket: all region names of a bucket at a time, with their members."""
-    at, names, nodes = None, [], []
+    """The region names of a bucket with all their members, in turns; its rows stay packed meanwhile."""
+    at, rows = None, []
     for b in batches:
         for bucket, row in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if bucket != at and names:
-                yield np.concatenate(names), np.concatenate(nodes)
-                names, nodes = [], []
+            if bucket != at and rows:
+                yield from _turns(rows)
+                rows = []
             at = bucket
-            x, own = _unpacked(row.as_buffer().to_pybytes())
-            names.append(x | np.uint64(bucket % 65536) << np.uint64(48))
-            nodes.append(own)
-    if names:
-        yield np.concatenate(names), np.concatenate(nodes)
+            rows.append(row.as_buffer().to_pybytes())
+    if rows:
+        yield from _turns(rows)
+
+
+def _turns(rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    turns = min(TURNS, 1 + sum(int(np.frombuffer(r, "<u4", 1)[0]) for r in rows) // TURN_NAMES)
+    for k in range(turns):
+        names, nodes = [], []
+        for r in rows:
+            x, own = _unpacked(r)
+            mine = x % np.uint64(turns) == k
+            names.append(x[mine])
+            nodes.append(own[mine])
+        if any(map(len, names)):
+            yield np.concatenate(names), np.concatenate(nodes)
 
 
 class _Sums:
@@ -231,8 +263,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sums.batches(["a", "b", "w"])
 
 
-def _edges(scratch: Scratch, packed: DataFrame, name: str) -> DataFrame:
-    stars = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "a long, b long, w long")
+def _edges(scratch: Scratch, packed: DataFrame, buckets: int, name: str) -> DataFrame:
+    stars = packed.repartitionById(buckets, "bucket").mapInArrow(_stars, "a long, b long, w long")
     return scratch.table(stars.groupBy("a", "b").agg(F.sum("w").alias("w")), name)
 
 
@@ -324,8 +356,9 @@ def _by_block(big: DataFrame, pivots: DataFrame, make: Callable, schema: str) ->
     return out
 
 
-def _names_of(buckets: int):
-    """All shingles of a document under its cell, as region names."""
+def _names_of(buckets: int, parts: int):
+    """The shingles of a document under its cell as region names, or one part of so many parts of them by hash."""
+    last = np.uint64((1 << 64) // parts - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("jaccard")
@@ -333,8 +366,9 @@ def _names_of(buckets: int):
             names, nodes = [], []
             for cell, node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 s = np.frombuffer(s.as_buffer(), "<u8")
-                names.append(mix64(s + mix64(np.array([cell], np.int64).view(np.uint64))))
-                nodes.append(np.full(len(s), node, np.int64))
+                own = mix64(s + mix64(np.array([cell], np.int64).view(np.uint64)))
+                names.append(own[own <= last])
+                nodes.append(np.full(len(names[-1]), node, np.int64))
             if names:
                 yield _packed(np.concatenate(names), np.concatenate(nodes), buckets)
 
@@ -374,13 +408,27 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sums.batches(["node", "alone"])
 
 
-def _sharing(scratch: Scratch, big: DataFrame, rule: Rule, buckets: int, name: str) -> DataFrame:
-    """Documents of large cells that can link at all: too many shingles of their own rule that out."""
-    names = big.select("cell", "node", "shingles").mapInArrow(_names_of(buckets), "bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
-    alone = names.mapInArrow(_private(buckets // 8), _SUMS).repartition("bucket").mapInArrow(_summed, "node long, alone long")
+def _without(scratch: Scratch, big: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """big without the nodes of gone, its sets staying where they are."""
+    block, bit = F.bitmap_bucket_number("node").alias("block"), F.bitmap_bit_position("node").alias("bit")
+    bits = gone.select(block, bit).repartition("block").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = scratch.table(bits, f"{name}-bits")
+    if bits.count() > BITMAPS:
+        return big.join(gone, "node", "left_anti").select(*big.columns)
+    byte = F.expr("cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    out = big.select("*", block, bit).join(F.broadcast(bits), "block", "left")
+    return out.where(F.col("bits").isNull() | (F.bit_get(byte, (F.col("bit") % 8).cast("int")) == 0)).select(*big.columns)
+
+
+def _sharing(scratch: Scratch, big: DataFrame, rule: Rule, buckets: int, parts: int, name: str) -> DataFrame:
+    """Documents of large cells that can link at all: too many shingles of their own rule that out. Those counted in one of
+    several parts are at most those there are, so nobody leaves who can link."""
+    names = big.select("cell", "node", "shingles").mapInArrow(_names_of(buckets, parts), "bucket int, packed binary").repartitionById(buckets, "bucket")
+    alone = names.mapInArrow(_private(buckets), _SUMS).repartition("bucket").mapInArrow(_summed, "node long, alone long")
     alone = scratch.table(alone, f"{name}-alone")
-    n = F.length("shingles") / 8
-    left = big.join(alone, "node", "left").where(rule.den * (n - F.coalesce("alone", F.lit(0))) >= rule.num * n)
+    sizes = big.select("node", (F.length("shingles") / 8).alias("n"))
+    gone = alone.join(sizes, "node").where(rule.den * (F.col("n") - F.col("alone")) < rule.num * F.col("n")).select("node")
+    left = _without(scratch, big, scratch.table(gone, f"{name}-gone"), name)
     return scratch.table(left.select("cell", "node", "pop", "shingles"), f"{name}-left")
 
 
@@ -571,6 +619,8 @@ def _large_cells(scratch: Scratch, big: DataFrame, rule: Rule, split: Callable,
             links = rest.mapInArrow(_against(rule)(block), _AGAINST).where("region is null")
             edges = edges.unionByName(scratch.table(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), name(f"links-{k}")))
             block.destroy()
+        if state.where("cut").isEmpty():
+            break
         inner = live.join(state.where("cut"), "cell", "left_semi")
         parts = big.select("cell", "node", "pop", "shingles").join(inner, ["cell", "node"])
         parts = scratch.table(parts.select(F.xxhash64("cell", "region").alias("cell"), "node", "pop", "shingles"), name("parts"))
@@ -588,7 +638,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     spark = docs.sparkSession
     ship(spark)
     scratch, rule = Scratch(spark), Rule(num, den)
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = scratch.table(own.mapInArrow(_identity(words), "doc_id long, d1 long, d2 long, n long, tag binary"), "rows")
 
@@ -610,7 +660,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         if names:
             yield _packed(np.concatenate(names), np.concatenate(nodes), buckets)
 
-    edges = _edges(scratch, own.select("text").mapInArrow(level0, "bucket int, packed binary"), "edges")
+    edges = _edges(scratch, own.select("text").mapInArrow(level0, "bucket int, packed binary"), buckets, "edges")
     cells = _cells(scratch, edges, "cells")
 
     classes = scratch.table(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")), "classes")
@@ -639,13 +689,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     split, joined = by_size(scratch), in_tasks(rule)
     small, big = split(loaded, "first")
     roots = [joined(small)]
-    for k in ("a", "b"):  # what leaves in one turn may leave others alone in the next
+    for k, parts in (("a", PARTS), ("b", 1)):  # what leaves in one turn may leave others alone in the next
         if not big.isEmpty():
-            small, big = split(_sharing(scratch, big, rule, buckets, k), k)
+            small, big = split(_sharing(scratch, big, rule, buckets, parts, k), k)
             roots.append(joined(small))
     if not big.isEmpty():
         sample = big.where(F.pmod(F.xxhash64("node"), F.col("docs")) < SAMPLE).select("cell", "node", "shingles")
-        again = _edges(scratch, _by_block(big.drop("docs"), sample, _by_prefix(rule, buckets), "bucket int, packed binary"), "edges-again")
+        again = _edges(scratch, _by_block(big.drop("docs"), sample, _by_prefix(rule, buckets), "bucket int, packed binary"), buckets, "edges-again")
         inner = _cells(scratch, again, "cells-again")
         members = scratch.table(big.select("node", "shingles").join(inner, "node").select("cell", "node", "pop", "shingles"), "members")
         small, big = split(members, "second")

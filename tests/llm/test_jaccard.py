@@ -107,3 +107,75 @@ def test_cell_join_is_exact():
             if rule.links(np.array(len(np.intersect1d(sets[i], sets[j]))), len(sets[i]), len(sets[j])):
                 want[want == want[i]] = want[j]
     assert all((want[i] == want[j]) == (cell.label[i] == cell.label[j]) for i in range(80) for j in range(80))
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 5000])
+def test_names_travel_in_few_bytes(buckets):
+    """Every name comes back with its member; where a member has about one name in each bucket, too, they take few bytes."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    nodes = np.repeat(rng.integers(-(2**63), 2**63, 400, dtype=np.int64), 300)
+    names = rng.integers(0, 2**64, len(nodes), dtype=np.uint64)
+    packed = jj._packed(names, nodes, buckets)
+    got = Counter()
+    for bucket, row in zip(packed["bucket"].to_pylist(), packed["packed"].to_pylist(), strict=True):
+        got.update((bucket, *x) for x in zip(*[y.tolist() for y in jj._unpacked(row)], strict=True))
+    bits = np.uint64(2**40 - 1)
+    assert got == Counter(zip((names % np.uint64(buckets)).tolist(), (names // np.uint64(buckets) & bits).tolist(), nodes.tolist(), strict=True))
+    assert packed["packed"].nbytes < 15 * len(names)
+
+
+def test_turns_see_every_name_once(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    names = rng.integers(0, 200, 3000, dtype=np.uint64) * np.uint64(3)
+    batches = [jj._packed(names[k : k + 1000], np.arange(k, k + 1000), 3) for k in (0, 1000, 2000)]
+    monkeypatch.setattr(jj, "TURN_NAMES", 500)
+    turns = list(jj._buckets(iter(batches)))
+    assert len(turns) == 7
+    assert sorted(x for a, b in turns for x in zip(a.tolist(), b.tolist(), strict=True)) == sorted(zip((names // np.uint64(3)).tolist(), range(3000), strict=True))
+    seen = [set(a.tolist()) for a, _ in turns]
+    assert sum(map(len, seen)) == len(set().union(*seen))
+
+
+@pytest.mark.parametrize("most", [4096, 0])
+def test_without_nodes(spark, monkeypatch, most):
+    """By bitmaps and by a shuffle, with numbers as monotonically_increasing_id gives them."""
+    monkeypatch.setattr(jj, "BITMAPS", most)
+    nodes = [p << 33 | k for p in range(3) for k in (0, 1, 2, 7, 8, 9, 32_767, 32_768, 32_769, 65_536, 100_000)]
+    big = spark.createDataFrame([(1, n, bytearray(b"set")) for n in nodes], "cell long, node long, shingles binary")
+    for gone in ([], nodes[::2], nodes[1::3], nodes):
+        got = jj._without(Scratch(spark), big, spark.createDataFrame([(n,) for n in gone], "node long"), "t")
+        assert got.columns == big.columns
+        assert sorted(r.node for r in got.collect()) == sorted(set(nodes) - set(gone))
+
+
+def test_sets_of_large_cells_are_not_shuffled(spark, monkeypatch):
+    """Documents that share some words, so that they meet, but no links leave large cells without a shuffle of the sets."""
+    import random
+
+    plans, table = {}, Scratch.table
+
+    def kept(self, df, name):
+        out = table(self, df, name)
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(fx.words(rng, 60))) for i in range(60)]
+    rows += [(100 + i, t if i % 2 else t + " more") for i, (_, t) in enumerate(rows[:20])]
+    monkeypatch.setattr(Scratch, "table", kept)
+    monkeypatch.setattr(jj, "CELL_DOCS", 3)
+    # All documents are in one cell.
+    monkeypatch.setattr(jj, "_cells", lambda scratch, edges, name, f=jj._cells: f(scratch, edges, name) if name != "cells" else f(scratch, edges, name).selectExpr("node", "1L AS cell", "pop"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert result(jj.jaccard_components(fx.frame(spark, rows), 1, 80, 100)) == fx.jaccard_components(rows, 1, 80, 100)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "a-left" in plans
+    for name in ("a-left", "b-left"):
+        assert "SortMergeJoin" not in plans.get(name, "") and "ShuffledHashJoin" not in plans.get(name, "")
