@@ -155,8 +155,8 @@ def _pieces(tokenizer: str, capacity: int):
         enc = encoder(tokenizer)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.encode(text.as_py() or "") + END
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
+                ids += END
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))

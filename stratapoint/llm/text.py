@@ -66,6 +66,30 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iter
                 texts, a, size = [], i + 1, 0
 
 
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column in one row (null as empty), and where each text starts, with the end."""
+    if texts.null_count:
+        texts = texts.fill_null("" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = texts.buffers()
+    width = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    at = np.frombuffer(offsets, width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+    return held, at - at[0]
+
+
+def classes(data: np.ndarray, table: bytes) -> np.ndarray:
+    """The class of each byte by a table of 256."""
+    return np.frombuffer(data.tobytes().translate(table), np.uint8)
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> tuple[pa.Array, np.ndarray]:
+    """The different pieces of bytes between neighbouring starts, and which of them stands at each place."""
+    found = pa.Array.from_buffers(kind, len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
 

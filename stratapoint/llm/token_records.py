@@ -75,8 +75,8 @@ def _blocks(tokenizer: str):
         size = 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["block"])  # noqa: E731  Spark adds the last line feed
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                f = frame(doc_id, enc.encode(text.as_py() or "") + END, width)
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
+                f = frame(doc_id, ids + END, width)
                 if held and size + len(f) > BLOCK_BYTES:
                     yield out()
                     held, size = [], 0

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -94,6 +95,28 @@ def test_encoder_is_the_library(name):
             assert np.frombuffer(enc.encode(t) + tokens.END, "<u4").tolist() == want, t[:100]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_columns_are_encoded_as_texts(name, monkeypatch):
+    """A column has the library's ids for each text, whatever its slices, and looks a segment up once, not at each place."""
+    rng = __import__("random").Random(name)
+    plain = ["a", "Zé", "ß", "×", "÷", "ª", "ÿ", "Ā", "日", "’", *".,!'()3 \n~^_\0\t\x1c\x85\xa0\u3000", "  ", "«", "<|endoftext|>"]
+    texts = [None, "", *ODD, *("".join(rng.choice(plain) for _ in range(rng.randrange(9))) for _ in range(50_000)), None]
+    want = [np.array(x[:-1], "<u4").tobytes() for x in ids_of(name, texts)]
+    enc = tokens.encoder(name)
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        assert [x for a in range(0, len(texts), 7001) for x in enc.encode_all(column.slice(a, 7001))] == want
+    monkeypatch.setattr(tokens, "_SEGMENTS", 3)
+    assert enc.encode_all(column.slice(1, 300)) == want[1:301] and enc.encode_all(column[:0]) == []
+    monkeypatch.undo()
+    monkeypatch.setattr(tokens._Pieces, "LIMIT", 200)
+    assert enc.encode_all(column) == want
+    looked = []
+    enc = tokens.Encoder(public_tokenizers.path(name), "word" in name)
+    monkeypatch.setattr(enc, "pieces", type("Looked", (), {"special": [], "__getitem__": lambda _, x: looked.append(x) or b"abcd"})())
+    assert enc.encode_all(pa.array(["one two, two\ntwo " * 1000] * 3)) and len(looked) < 10
+
+
 def test_packing(spark, docs):
     got = packing.pack(fx.frame(spark, docs), "word_bpe_49k.json", 64).collect()
     want = Counter()
