@@ -19,7 +19,6 @@ doc_id. Very long texts are counted whole. An empty table gives no rows. Other c
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,60 +28,84 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratapoint.llm.text import claim, ngram_hashes, word_hashes
+from stratapoint.llm.text import claim, classes, distinct, flat, ngram_hashes
 from stratapoint.runtime import Scratch, ship
 
 BUCKETS = 1 << 16
 MAX_LABELS = 200_000
 #: Counts of equal probability added to either side of a ratio.
 PRIOR = 10.0
+#: Tokens are words (bytes of 1) and runs of other printing ASCII characters (2).
+_KIND = bytes(2 if 32 < c < 127 and not chr(c).isalnum() else 1 if c > 127 or chr(c).isalnum() else 0 for c in range(256))
+#: Texts are counted in parts of about so many bytes.
+PART_BYTES = 1 << 20
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each piece between neighbouring starts: whether it is a token, its hash and the hash of its shape.
+
+    A shape says case and digits, or is the characters themselves.
+    """
+    names, which = distinct(data, starts, pa.large_binary())
+    data, at = flat(names)
+    first, size = data[at[:-1]], np.diff(at)
+    kind = np.frombuffer(_KIND, np.uint8)[first]
+    many = lambda low, high: np.add.reduceat((data >= low) & (data <= high), at[:-1], dtype=np.int64)
+    digits, upper, lower = many(48, 57), many(65, 90), many(97, 122)
+    shapes = [xxhash.xxh3_64_intdigest(x, 1) for x in (b"0", b"A", b"Aa", b"a0", b"a")]
+    shape = np.select([digits == size, (upper > 0) & (lower == 0) & (size > 1), (first >= 65) & (first <= 90), digits > 0], np.array(shapes[:4], np.uint64), np.uint64(shapes[4]))
+    words = names.to_pylist()
+    marks = np.flatnonzero(kind == 2)
+    shape[marks] = np.array([xxhash.xxh3_64_intdigest(words[i], 1) for i in marks.tolist()], np.uint64)
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return (kind > 0)[which], word[which], shape[which]
+
+
+def buckets_by_row(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words and word pairs, and hashed n-grams (1 to 3) of token shapes, of all texts of a column; which text each is of."""
+    data, rows = flat(texts)
+    if not len(data):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    kind = classes(data, _KIND)
+    first = np.zeros(len(data) + 1, bool)
+    first[1:-1] = kind[1:] != kind[:-1]
+    first[rows] = True
+    starts = np.flatnonzero(first)
+    token, word, shape = _hashes(data, starts)
+    word, shape = word[token], shape[token]
+    row = (np.searchsorted(rows, starts[:-1][token], side="right") - 1).astype(np.int32)
+    found, of = [], []
+    for hashes, n in ((word, 1), (word, 2), (shape, 1), (shape, 2), (shape, 3)):
+        last = row[n - 1 :]
+        within = row[: len(last)] == last
+        grams = ngram_hashes(hashes, n)[within]
+        found.append((grams & np.uint64(buckets - 1) if buckets & buckets - 1 == 0 else grams % np.uint64(buckets)).astype(np.int32))
+        of.append(last[within])
+    return np.concatenate(found), np.concatenate(of)
 
 
-#: Words, and runs of other printing ASCII characters.
-_TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
-
-
-class _Shape(dict):
-    """token -> the hash of its shape: case, digits or the characters themselves."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        if not (token[0] > 127 or token[:1].isalnum()):
-            shape = token
-        elif token.isdigit():
-            shape = b"0"
-        else:
-            letters = bytes(c for c in token if c < 128)
-            shape = b"A" if letters.isupper() and len(token) > 1 else b"Aa" if token[:1].isupper() else b"a0" if any(48 <= c < 58 for c in letters) else b"a"
-        h = self[token] = xxhash.xxh3_64_intdigest(shape, 1)
-        return h
-
-
-_SHAPE = _Shape()
+def buckets_of(text: bytes | None, buckets: int) -> np.ndarray:
+    return buckets_by_row(pa.array([text], pa.binary()), buckets)[0]
 
 
-def buckets_of(text: bytes | None, buckets: int) -> np.ndarray:
-    """Hashed words and word pairs, and hashed n-grams (1 to 3) of token shapes."""
-    tokens = _TOKEN.findall(text or b"")
-    w = word_hashes(tokens)
-    s = np.fromiter(map(_SHAPE.__getitem__, tokens), np.uint64, len(tokens))
-    grams = [ngram_hashes(w, 1), ngram_hashes(w, 2), *[ngram_hashes(s, n) for n in (1, 2, 3)]]
-    return (np.concatenate(grams) % np.uint64(buckets)).astype(np.int64)
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about ``PART_BYTES`` of texts at a time, one row at least."""
+    ends, a = flat(b.column(0))[1][1:], 0
+    while a < b.num_rows:
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PART_BYTES, side="right")))
+        yield b.slice(a, z - a)
+        a = z
 
 
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("quality", _SHAPE.clear)
+        claim("quality")
         sums = np.zeros((2, buckets), np.int64)
-        for b in batches:
-            for text, target in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                n = np.bincount(buckets_of(text.as_py(), buckets), minlength=buckets)
-                sums[0] += n
-                if target:
-                    sums[1] += n
+        for b in (part for whole in batches for part in _parts(whole)):
+            at, row = buckets_by_row(b.column(0), buckets)
+            target = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            sums[0] += np.bincount(at, minlength=buckets)
+            sums[1] += np.bincount(at[target[row]], minlength=buckets)
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["bucket", "raw", "target"])
 
@@ -101,15 +124,21 @@ class Ratio:
         self.raw, self.target = raw.astype(np.float64), target.astype(np.float64)
         self.raw_n, self.target_n = float(raw.sum()), float(target.sum())
 
-    def weight(self, buckets: np.ndarray, is_target: bool) -> float:
-        own = len(buckets)
+    def weights(self, at: np.ndarray, row: np.ndarray, is_target: np.ndarray) -> np.ndarray:
+        """Of each text: at are the buckets of all texts' n-grams, row says whose each is."""
+        n_rows, buckets = len(is_target), len(self.raw)
+        own = np.bincount(row, minlength=n_rows)
         raw_n, target_n = self.raw_n - own, self.target_n - own * is_target
-        if not own or raw_n <= 0 or target_n <= 0:
-            return 0.0
-        at, n = np.unique(buckets, return_counts=True)
-        target = self.target[at] - n * is_target
-        raw = (self.raw[at] - n) * (target_n / raw_n)
-        return float((n * np.log((target + PRIOR) / (raw + PRIOR))).sum())
+        known = (own > 0) & (raw_n > 0) & (target_n > 0)
+        scale = np.divide(target_n, raw_n, out=np.ones(n_rows), where=known)
+        key = row.astype(np.int64) * buckets + at
+        key = np.sort(key.astype(np.uint32) if n_rows * buckets < 1 << 32 else key)
+        new = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+        n = np.diff(np.append(new, len(key)))
+        row, at = np.divmod(key[new].astype(np.int64), buckets)
+        target = self.target[at] - n * is_target[row]
+        raw = (self.raw[at] - n) * scale[row]
+        return np.where(known, np.bincount(row, n * np.log((target + PRIOR) / (raw + PRIOR)), n_rows), 0.0)
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 7, buckets: int = BUCKETS, max_labels: int = MAX_LABELS) -> DataFrame:
@@ -131,16 +160,16 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     model = spark.sparkContext.broadcast(Ratio(raw, good_n))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("quality", _SHAPE.clear)
+        claim("quality")
         ratio = model.value
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            w = np.array([ratio.weight(buckets_of(t.as_py(), buckets), bool(own)) for t, own in zip(b.column(1), b.column(2).to_pylist(), strict=True)])
+        for b in (part for whole in batches for part in _parts(whole)):
+            ids = b.column(1).to_pylist()
+            w = ratio.weights(*buckets_by_row(b.column(0), buckets), b.column(2).fill_null(False).to_numpy(zero_copy_only=False))
             keys = w + np.array([gumbel(seed, i) for i in ids])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.float64()), pa.array(keys, pa.float64())], ["doc_id", "log_weight", "sample_key"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(w, pa.float64()), pa.array(keys, pa.float64())], ["doc_id", "log_weight", "sample_key"])
 
     schema = "doc_id long, log_weight double, sample_key double"
-    scored = scratch.table(own.join(F.broadcast(target), "doc_id", "left").mapInArrow(score, schema), "scored")
+    scored = scratch.table(own.join(F.broadcast(target), "doc_id", "left").select("text", "doc_id", "target").mapInArrow(score, schema), "scored")
     order = [F.desc("sample_key"), F.asc_nulls_last("doc_id")]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

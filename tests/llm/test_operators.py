@@ -445,6 +445,43 @@ def test_quality_is_its_definition(spark, docs):
     assert sum(r.kept for r in got) == k and sorted(round(r.sample_key, 6) for r in got if r.kept) == sorted(round(x[2], 6) for x in chosen)
 
 
+def test_quality_counts_columns(monkeypatch):
+    """N-grams and weights of whole columns, in parts, are those of each text by its definition."""
+    import xxhash
+
+    from stratapoint.llm.text import ngram_hashes
+
+    def shape(t):
+        letters = bytes(c for c in t if c < 128)
+        if not (t[0] > 127 or t[:1].isalnum()):
+            return t
+        return b"0" if t.isdigit() else b"A" if letters.isupper() and len(t) > 1 else b"Aa" if t[:1].isupper() else b"a0" if any(48 <= c < 58 for c in letters) else b"a"
+
+    def plain(text, buckets):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", text or b"")
+        w = np.array([xxhash.xxh3_64_intdigest(t) for t in words], np.uint64)
+        s = np.array([xxhash.xxh3_64_intdigest(shape(t), 1) for t in words], np.uint64)
+        return Counter(int(g) % buckets for h, n in ((w, 1), (w, 2), (s, 1), (s, 2), (s, 3)) for g in ngram_hashes(h, n))
+
+    rng = __import__("random").Random(4)
+    parts = [b"a", b"Ab", b"AB", b"9", b"\xc3\xa9", b"!", b"'", b" ", b" ", b"\n", b"\x7f", b"\0", b"_", b"Z", b"\xff"]
+    texts = [None, b"", *(b"".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)), b"some Words 12 " * 9000, None]
+    own = [rng.random() < 0.4 for _ in texts]
+    monkeypatch.setattr(quality, "PART_BYTES", 700)
+    for buckets in (512, 1000):
+        want = [plain(t, buckets) for t in texts]
+        batch = pa.RecordBatch.from_arrays([pa.array([b"x", *texts], pa.binary())[1:], pa.array([x or None for x in own])], ["text", "target"])
+        (got,) = quality._count(buckets)(iter([batch]))
+        raw, target = sum(want, Counter()), sum((g for g, x in zip(want, own, strict=True) if x), Counter())
+        assert [tuple(r.values()) for r in got.to_pylist()] == sorted((b, n, target[b]) for b, n in raw.items())
+        ratio = quality.Ratio(np.array([raw[b] for b in range(buckets)]), np.array([target[b] for b in range(buckets)]))
+        weights = np.concatenate([ratio.weights(*quality.buckets_by_row(p.column(0), buckets), np.array(p.column(1).fill_null(False))) for p in quality._parts(batch)])
+        for g, x, weight in zip(want, own, weights.tolist(), strict=True):
+            n = sum(g.values())
+            scale = (ratio.target_n - n * x) / (ratio.raw_n - n)
+            assert weight == pytest.approx(sum(c * np.log((target[b] - c * x + 10) / ((raw[b] - c) * scale + 10)) for b, c in g.items()), abs=1e-6)
+
+
 def test_language_id_refuses_what_is_no_language(spark):
     """The pipeline's threshold lies between random letters or other scripts and real texts."""
     import corpus_pipeline
