@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratapoint.llm.text import claim, classes, distinct, flat, ngram_hashes
+from stratapoint.llm.text import claim, classes, distinct, flat, ngram_hashes, parts
 from stratapoint.runtime import Scratch, ship
 
 BUCKETS = 1 << 16
@@ -90,11 +90,8 @@ def buckets_of(text: bytes | None, buckets: int) -> np.ndarray:
 
 def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Rows of a batch with about ``PART_BYTES`` of texts at a time, one row at least."""
-    ends, a = flat(b.column(0))[1][1:], 0
-    while a < b.num_rows:
-        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PART_BYTES, side="right")))
+    for a, z in parts(flat(b.column(0))[1], PART_BYTES):
         yield b.slice(a, z - a)
-        a = z
 
 
 def _count(buckets: int):

@@ -79,6 +79,15 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at - at[0]
 
 
+def parts(rows: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many bytes, one text at least, by where texts start."""
+    a = 0
+    while a < len(rows) - 1:
+        z = max(a + 1, int(np.searchsorted(rows, rows[a] + limit, side="right")) - 1)
+        yield a, z
+        a = z
+
+
 def classes(data: np.ndarray, table: bytes) -> np.ndarray:
     """The class of each byte by a table of 256."""
     return np.frombuffer(data.tobytes().translate(table), np.uint8)

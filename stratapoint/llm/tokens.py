@@ -20,7 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from stratapoint.llm.text import claim, classes, distinct, flat
+from stratapoint.llm.text import claim, classes, distinct, flat, parts
 
 #: The end of a document in every operator here.
 END_ID = 0
@@ -32,13 +32,16 @@ _DOUBLE = re.compile(r"\s\s")
 _BYTES = bytes(1 if chr(c).isspace() and c < 128 else 2 if c in (0xC2, 0xE1, 0xE2, 0xE3) else 4 if c == 0 else 0 for c in range(256))
 #: Letters of Latin-1 and the bytes of their UTF-8 (beyond ASCII only behind 0xC3) are 1, marks 2, space 3, all else 0.
 _PARTS = bytes(1 if chr(c).isalpha() and c < 128 or c == 0xC3 or 0x80 <= c < 0xC0 else 3 if c == 32 else 2 if 32 < c < 127 and chr(c) not in "'0123456789" else 0 for c in range(256))
-#: Segments that are looked up at a time.
+#: Texts are cut in parts of about so many bytes, and so many segments are looked up at a time.
+PART_BYTES = 1 << 20
 _SEGMENTS = 1 << 20
 #: Letters of Latin-1, which are one piece and no normalizer changes but for case, and marks behind them, which are another.
 _WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 #: The letters that byte-level vocabularies write for the bytes of these letters: printable ones stand for themselves.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = dict(zip([b for b in range(256) if b not in _OWN], map(chr, range(256, 512)), strict=False))
+#: The same for the characters of Latin-1, whose UTF-8 is one byte or two.
+_SPELT = {c: chr(c).encode().decode("latin-1").translate(_LETTERS) for c in range(256)}
 
 
 class _Pieces(dict):
@@ -79,7 +82,7 @@ class _Pieces(dict):
         elif m[3]:
             return self[m[1] + m[2]] + self[m[3]]
         else:
-            name = (m[2].lower() if self.drops_space else piece).encode().decode("latin-1").translate(_LETTERS)
+            name = (m[2].lower() if self.drops_space else piece).translate(_SPELT)
         found = self.model.tokenize(name)
         return found[0].id.to_bytes(4, "little") if len(found) == 1 else array("I", [t.id for t in found]).tobytes()
 
@@ -105,6 +108,9 @@ class Encoder:
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """``encode`` of each text of a string column, null as empty."""
+        return [ids for a, z in parts(flat(texts)[1], PART_BYTES) for ids in self._encode_part(texts.slice(a, z - a))]
+
+    def _encode_part(self, texts: pa.Array) -> list[bytes]:
         data, rows = flat(texts)
         odd = self._odd(texts, data, rows)
         if odd.any():
