@@ -64,11 +64,16 @@ def from_dims(schema: Schema, dims: Column, compression: Column | None = None, c
 def make_patch(schema: Schema, vals: Column) -> Column:
     """vals: array<double>, point after point; a length that is no multiple of the dimensions is an error."""
     nd = schema.ndims
-    wrong = F.raise_error(F.concat(F.lit(f"array length is not a multiple of the {nd} dimensions of pcid {schema.pcid}: "), F.size(vals).cast("string"))).cast(PATCH)
-    n = (F.size(vals) / nd).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    dims = F.array(*[F.transform(at, lambda j: quantise(vals[j * nd + i], d)) for i, d in enumerate(schema.dims)])
-    return F.when(vals.isNotNull(), F.when(F.size(vals) % nd != 0, wrong).otherwise(from_dims(schema, dims)))
+
+    def build(own: Column) -> Column:
+        n = F.size(own)
+        wrong = F.raise_error(F.concat(F.lit(f"array length is not a multiple of the {nd} dimensions of pcid {schema.pcid}: "), n.cast("string"))).cast(PATCH)
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(nd))).otherwise(F.array().cast("array<int>"))
+        dims = F.array(*[F.transform(at, lambda j: quantise(own[j + i], d)) for i, d in enumerate(schema.dims)])
+        return F.when(n % nd != 0, wrong).otherwise(from_dims(schema, dims))
+
+    # Inside a lambda an expression is computed anew for every element; a variable is not.
+    return F.when(vals.isNotNull(), let(vals, build))
 
 
 def patch_of_points(schema: Schema, pts: Column) -> Column:

@@ -315,3 +315,13 @@ def test_mixed_types_round_trip(spark):
     for s in (S10, S11):
         p = patches.make_patch(s, vals(-1.27, 1.27, 3.2, -5, 123456.78, 0.25, 1e-9, 0, 0, 0, 0, 0, 0, 0))
         assert one(spark, wkb.patch_from_hex(wkb.patch_to_hex(p, s), s)["dims"]) == one(spark, p["dims"])
+
+
+def test_make_patch_computes_its_array_once(spark):
+    """In a lambda the array would be computed anew for every point: quadratic in the points of a patch."""
+    parts = spark.range(1).select(F.array(vals(1, 2, 3, 4), vals(5, 6, 7, 8, 9, 10, 11, 12)).alias("v")).localCheckpoint()
+    df = parts.select(patches.make_patch(S1, F.flatten("v")).alias("pa"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
+    assert df.first().pa.dims == [[100.0, 500.0, 900.0], [200.0, 600.0, 1000.0], [300.0, 700.0, 1100.0], [4.0, 8.0, 12.0]]
+    empty, null = F.array().cast("array<double>"), F.lit(None).cast("array<double>")
+    assert one(spark, patches.make_patch(S1, empty)) is None and one(spark, patches.make_patch(S1, null)) is None
