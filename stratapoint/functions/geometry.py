@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
+from fractions import Fraction
 from functools import cache
 
 import numpy as np
@@ -17,7 +18,7 @@ from stratapoint.functions.intra import filter_points
 from stratapoint.functions.points import get_role
 from stratapoint.functions.quant import let, value_of
 from stratapoint.functions.shapes import Ring, Shape, shape
-from stratapoint.schema import Schema
+from stratapoint.schema import Dimension, Schema
 
 #: EWKB flags and geometry types (fixed values).
 SRID_FLAG, M_FLAG, Z_FLAG = 0x20000000, 0x40000000, 0x80000000
@@ -41,8 +42,8 @@ def _edges(ring: Ring) -> list[tuple[float, float, float, float]]:
     return [(*a, *b) for a, b in zip(closed, closed[1:], strict=False)]
 
 
-def point_in_polygon(x: Column, y: Column, ring: Ring, holes: list[Ring] = ()) -> Column:
-    """Closed test: a point on an edge is inside, of the ring as of a hole."""
+def point_in_polygon(x: Column, y: Column, ring: Ring, holes: list[Ring] = (), closed: bool = True) -> Column:
+    """Closed test: a point on an edge is inside, of the ring as of a hole. Open: a point on an edge is outside."""
 
     def inside_and_on(edges) -> tuple[Column, Column]:
         crossings, on = F.lit(False), F.lit(False)
@@ -55,10 +56,10 @@ def point_in_polygon(x: Column, y: Column, ring: Ring, holes: list[Ring] = ()) -
         return crossings, on
 
     inside, on = inside_and_on(_edges(ring))
-    out = inside | on
+    out = inside | on if closed else inside & ~on
     for hole in holes:
         inside, on = inside_and_on(_edges(hole))
-        out = out & (~inside | on)
+        out = out & (~inside | on if closed else ~inside & ~on)
     return out
 
 
@@ -110,8 +111,8 @@ def intersects(a: Column | Shape | str | bytes | Ring, b: Column | Shape | str |
     return patch_intersects_polygon(a, b) if isinstance(a, Column) else patch_intersects_polygon(b, a)
 
 
-def point_meets(x: Column, y: Column, geom: Shape | str | bytes | Ring) -> Column:
-    """Whether a point lies on or inside a geometry."""
+def point_meets(x: Column, y: Column, geom: Shape | str | bytes | Ring, closed: bool = True) -> Column:
+    """Whether a point lies on or inside a geometry; if not closed, polygons are without their borders."""
     own, hit = shape(geom), F.lit(False)
     for px, py in own.points:
         hit = hit | ((x == px) & (y == py))
@@ -119,17 +120,43 @@ def point_meets(x: Column, y: Column, geom: Shape | str | bytes | Ring) -> Colum
         for p, q in zip(line, line[1:], strict=False):
             hit = hit | ((_cross(x, y, p, q) == 0) & (x >= min(p[0], q[0])) & (x <= max(p[0], q[0])) & (y >= min(p[1], q[1])) & (y <= max(p[1], q[1])))
     for ring, holes in own.polygons:
-        hit = hit | point_in_polygon(x, y, ring, holes)
+        hit = hit | point_in_polygon(x, y, ring, holes, closed)
     return hit
 
 
-def intersection(pa: Column, schema: Schema, geom: Shape | str | bytes | Ring, holes: list[Ring] = ()) -> Column:
-    """The points of a patch on or inside a geometry; null if there are none. holes: of a geometry that is one ring."""
+def _on_grid(geom: Shape, dx: Dimension, dy: Dimension) -> tuple[int, Shape] | None:
+    """A factor and the geometry in whole numbers, so that tests of stored numbers times the factor are exact in 64 bits; None if they are not."""
+    if geom.box() is None or not all(math.isfinite(c) for c in geom.box()) or not (dx.is_integer and dy.is_integer):
+        return None
+    number = lambda v: Fraction(repr(float(v)))  # noqa: E731  decimals as they are written
+    at = lambda p: tuple((number(c) - number(d.offset)) / number(d.scale) for c, d in zip(p, (dx, dy), strict=True))
+    moved = geom.map(at)
+    corners = [*moved.points, *(p for line in moved.lines for p in line), *(p for ring, holes in moved.polygons for r in (ring, *holes) for p in r)]
+    factor = math.lcm(*[c.denominator for p in corners for c in p])
+    own = moved.map(lambda p: tuple(int(c * factor) for c in p))
+    x0, x1, y0, y1 = own.box()
+    far = [factor * int(max(map(abs, d.limits))) + max(abs(a), abs(b)) for d, a, b in ((dx, x0, x1), (dy, y0, y1))]
+    return (factor, own) if far[0] * max(y1 - y0, 1) + far[1] * max(x1 - x0, 1) < 2**63 else None
+
+
+def intersection(pa: Column, schema: Schema, geom: Shape | str | bytes | Ring, holes: list[Ring] = (), closed: bool = True) -> Column:
+    """The points of a patch on or inside a geometry; null if there are none. holes: of a geometry that is one ring.
+
+    Not closed: points on the border of a polygon are outside. Stored whole numbers are tested exactly where 64 bits hold the products.
+    """
     own = shape(geom)
     if holes:
         own = Shape(polygons=[(own.polygons[0][0], list(holes))])
-    x, y = schema.dims[schema.role("x")].name, schema.dims[schema.role("y")].name
-    return F.when(_near(pa["bounds"], own), filter_points(pa, schema, lambda value: point_meets(value(x), value(y), own)))
+    i, j = schema.role("x"), schema.role("y")
+    x, y = schema.dims[i].name, schema.dims[j].name
+    grid = _on_grid(own, schema.dims[i], schema.dims[j])
+    if grid is None:
+        return F.when(_near(pa["bounds"], own), filter_points(pa, schema, lambda value: point_meets(value(x), value(y), own, closed)))
+    factor, own = grid
+    whole = lambda c: c.cast("long") * factor
+    low, high = pa["stats"]["min"], pa["stats"]["max"]
+    box = F.struct(*[whole(c).alias(n) for c, n in ((low[i], "xmin"), (high[i], "xmax"), (low[j], "ymin"), (high[j], "ymax"))])
+    return F.when(_near(box, own), filter_points(pa, schema, lambda value: point_meets(whole(value(x)), whole(value(y)), own, closed), stored=True))
 
 
 def envelope(pa: Column) -> Column:

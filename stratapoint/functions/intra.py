@@ -56,13 +56,14 @@ def filter_between(pa: Column, schema: Schema, name: str, v1: float, v2: float)
     return _where(pa, schema, name, lambda x: (x > lo) & (x < hi), lambda low, high: (low < hi) & (high > lo))
 
 
-def filter_points(pa: Column, schema: Schema, keep: Callable[[Callable[[str], Column]], Column]) -> Column:
-    """Points for which keep(value) holds, value(name) being a point's value by name."""
+def filter_points(pa: Column, schema: Schema, keep: Callable[[Callable[[str], Column]], Column], stored: bool = False) -> Column:
+    """Points for which keep(value) holds, value(name) being a point's value by name, or its stored number."""
 
     def test(j: Column) -> Column:
         def value(name: str) -> Column:
             i = schema.index(name, _MISSING)
-            return value_of(F.get(pa["dims"][i], j), schema.dims[i])
+            v = F.get(pa["dims"][i], j)
+            return v if stored else value_of(v, schema.dims[i])
 
         return keep(value)
 

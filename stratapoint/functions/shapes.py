@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from stratapoint.errors import PointError
@@ -31,6 +32,11 @@ class Shape:
         xs, ys = zip(*every, strict=True)
         return min(xs), max(xs), min(ys), max(ys)
 
+    def map(self, f: Callable[[XY], XY]) -> Shape:
+        """The same parts with every corner replaced."""
+        path = lambda ps: [f(p) for p in ps]
+        return Shape(path(self.points), [path(line) for line in self.lines], [(path(ring), [path(h) for h in holes]) for ring, holes in self.polygons])
+
     def segments(self) -> list[tuple[XY, XY]]:
         """All segments of lines and borders."""
         rings = [r if r[0] == r[-1] else [*r, r[0]] for ring, holes in self.polygons for r in (ring, *holes)]

@@ -325,3 +325,21 @@ def test_make_patch_computes_its_array_once(spark):
     assert df.first().pa.dims == [[100.0, 500.0, 900.0], [200.0, 600.0, 1000.0], [300.0, 700.0, 1100.0], [4.0, 8.0, 12.0]]
     empty, null = F.array().cast("array<double>"), F.lit(None).cast("array<double>")
     assert one(spark, patches.make_patch(S1, empty)) is None and one(spark, patches.make_patch(S1, null)) is None
+
+
+def test_intersection_is_exact_on_borders(spark):
+    """Points on a slanted edge, of a whole number of hundredths: all of them on it, whatever doubles make of the products."""
+    triangle, y = [(0.0, 0.0), (60000.5, 0.0), (0.0, 40.0)], range(4, 40, 4)
+    on = [(round(60000.5 - 1500.0125 * v, 2), v, 0, v) for v in y]
+    rows = [*on, *[(round(a - 0.01, 2), b, 0, 100 + n) for a, b, _, n in on], *[(round(a + 0.01, 2), b, 0, 200 + n) for a, b, _, n in on]]
+    # 35 * 0.01 is more than 0.35: the box of a patch is tested on stored numbers too.
+    square = [(0.0, 0.0), (0.35, 0.0), (0.35, 0.35), (0.0, 0.35)]
+    hole = [(0.1, 0.1), (0.2, 0.1), (0.2, 0.2), (0.1, 0.2)]
+    many = [(0.15, 0.15, 0, 1), (0.2, 0.15, 0, 2), (0.21, 0.15, 0, 3)]
+    given = [(n, [float(v) for r in own for v in r]) for n, own in enumerate((rows, [(0.35, 0.1, 0, 1)], many))]
+    pas = spark.createDataFrame(given, "n int, v array<double>").select("n", patches.make_patch(S1, F.col("v")).alias("pa")).orderBy("n").localCheckpoint()
+    own = lambda n, *a, **k: pas.where(F.col("n") == n).select(geo.intersection(F.col("pa"), S1, *a, **k)["dims"][3].alias("c")).first().c
+    inner = [100.0 + v for v in y]
+    assert own(0, triangle) == [*map(float, y), *inner] and own(0, triangle, closed=False) == inner
+    assert own(1, square) == [1.0] and own(1, square, closed=False) is None
+    assert own(2, square, [hole]) == [2.0, 3.0] and own(2, square, [hole], closed=False) == [3.0]

@@ -67,3 +67,17 @@ def test_intersects_geometry_of_whole_patches(spark, oracle):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_make_patch_of_every_point(spark, oracle):
     assert points.QUERIES["make_patch_array"](spark, SF).count() == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_triangle_without_its_border(spark, tmp_path):
+    """Points on the slanted edge, which only larger tables hold by chance."""
+    con = duckdb.connect()
+    price = "CASE WHEN l_orderkey % 3 = 0 THEN round(60000.5 - 1500.0125 * (4 + 4 * (l_orderkey % 9)), 2) ELSE l_extendedprice END"
+    quantity = "CASE WHEN l_orderkey % 3 = 0 THEN (4 + 4 * (l_orderkey % 9))::DOUBLE ELSE l_quantity END"
+    con.execute(f"COPY (SELECT * REPLACE (({price})::DOUBLE AS l_extendedprice, ({quantity}) AS l_quantity) FROM '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = con.execute(points.ORACLE_SQL["triangle_intersection"])
+    names = [c[0] for c in got.description]
+    df = points.QUERIES["triangle_intersection"](spark, str(tmp_path))
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(got.fetchall(), names)
